@@ -23,11 +23,14 @@ def _constants(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Values and offsets of a list<int64> array without nulls."""
+    """Values and offsets of an array of hash lists without nulls; 32-bit hashes are spread over 64 bits."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     offsets = column.offsets.to_numpy()
-    return column.values.to_numpy(zero_copy_only=False).view(np.uint64)[offsets[0] : offsets[-1]], offsets - offsets[0]
+    values = column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+    if values.dtype == np.int32:
+        values = values.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return values.view(np.uint64), offsets - offsets[0]
 
 
 def minhashes(values: np.ndarray, offsets: np.ndarray, a: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -239,22 +242,21 @@ def similar_classes(whole: DataFrame, threshold: float = 0.8, bands: int = 20, r
 def near_duplicates(records: DataFrame, key: str, tokens: str, threshold: float = 0.8, **how) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Links between different sets, the classes, and each record's class.
 
-    ``records`` holds unique keys and, in ``tokens``, sorted 64-bit hashes of the
+    ``records`` holds unique keys and, in ``tokens``, sorted hashes of the
     different shingles (:func:`stormglass.llm.classes.shingle_set`). Null or
     empty sets are similar to nothing and only appear among the members; records
     with equal sets form one class and are not compared again. Other columns are
     ignored; an empty table gives three empty results.
     """
-    named = records.select(F.col(key).alias("key"), F.coalesce(F.col(tokens), F.array().cast("array<bigint>")).alias("tokens"))
+    named = records.select(F.col(key).alias("key"), F.coalesce(F.col(tokens), F.array().cast(records.schema[tokens].dataType)).alias("tokens"))
     whole, members = classes(named, "key", "tokens")
     return similar_classes(whole, threshold, **how), whole, members
 
 
-def all_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
+def all_pairs(links: DataFrame, whole: DataFrame, members: DataFrame) -> DataFrame:
     """``a, b`` with a < b: every pair of keys of linked classes or of one class."""
     m = members.select("cls", "key")
     far = links.join(m.withColumnsRenamed({"cls": "cls_a", "key": "p"}), "cls_a").join(m.withColumnsRenamed({"cls": "cls_b", "key": "q"}), "cls_b").select("p", "q")
-    many = m.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cls")
-    own = m.join(many, "cls")
+    own = m.join(whole.where("n > 1").select("cls"), "cls", "left_semi")
     near = own.withColumnRenamed("key", "p").join(own.withColumnRenamed("key", "q"), "cls").where("p < q").select("p", "q")
     return far.unionByName(near).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
