@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from stormglass.runtime import materialize, table
 
-from . import neardup, ngrams, relevance, setjoin
+from . import neardup, ngrams, packing, relevance, setjoin, splitting
 from .sql import SQL  # noqa: F401
 from .classes import shingle_set, token_set
 from .common import first_deliveries, terms
+from .tokens import token_counts
 
 QUERIES: dict = {}
 
@@ -77,3 +78,28 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     posts = first_posts(spark, sf).select("id", token_set(terms(F.col("text"))).alias("tokens")).where(F.size("tokens") >= 5)
     shown = table(spark, sf, "summaries").select("summary_id", token_set(terms(F.col("text"))).alias("tokens")).where(F.size("tokens") >= 5)
     return setjoin.join_similar(shown, posts, "summary_id", "id", "tokens", 0.6).select("summary_id", "id")
+
+
+def limits(spark: SparkSession, sf: str) -> dict[str, int]:
+    return {r["limit_name"]: r["n_tokens"] for r in table(spark, sf, "size_limits").collect()}
+
+
+def split_documents(spark: SparkSession, sf: str, with_text: bool) -> DataFrame:
+    n = limits(spark, sf)
+    return splitting.split_oversized(table(spark, sf, "documents"), "doc_id", "text", n["piece_limit"], n["piece_overlap"], with_text=with_text)
+
+
+@query
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return split_documents(spark, sf, False).where("piece_no = 1").select("doc_id")
+
+
+@query
+def p10_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    return split_documents(spark, sf, True)
+
+
+@query
+def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
+    sizes = materialize(token_counts(table(spark, sf, "documents"), "doc_id", "text"))
+    return packing.containers(sizes, "doc_id", "n_tokens", limits(spark, sf)["container_capacity"])

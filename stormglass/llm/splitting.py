@@ -15,8 +15,8 @@ from .tokens import TOKENIZER, load
 
 #: Strength of a boundary: the end of a paragraph, line, sentence or word, or between any two tokens.
 PARAGRAPH, LINE, SENTENCE, WORD, TOKEN = 4, 3, 2, 1, 0
-BREAK = r"(?:\r\n|[\n\r\x0b\x0c\x85  ])"
-ENDS = re.compile(rf"(?P<p>{BREAK}[^\S\n\r\x0b\x0c\x85  ]*{BREAK}\s*)|(?P<l>{BREAK})|(?P<s>[.!?…]+[\"'”’)\]]*(?=\s)|[。！？]+[”’」』）]*)")
+BREAK = r"(?:\r\n|[\n\r\x0b\x0c\x85\u2028\u2029])"
+ENDS = re.compile(rf"(?P<p>{BREAK}[^\S\n\r\x0b\x0c\x85\u2028\u2029]*{BREAK}\s*)|(?P<l>{BREAK})|(?P<s>[.!?…]+[\"'”’)\]]*(?=\s)|[。！？]+[”’」』）]*)")
 GAP = re.compile(r"\s+")
 
 
@@ -44,7 +44,7 @@ def _boundaries(text: str, starts: np.ndarray, words: bool) -> dict[int, int]:
     token = np.searchsorted(starts, where, side="right") - 1
     out: dict[int, int] = {}
     for t, k in zip(token.tolist(), kind):
-        if t > 0 and k > out.get(t, 0):
+        if 0 < t < len(starts) - 1 and k > out.get(t, 0):
             out[t] = k
     return out
 
