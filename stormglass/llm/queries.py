@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stormglass.runtime import materialize, table
 
-from . import neardup, ngrams, packing, relevance, setjoin, splitting
+from . import diverse, mixing, neardup, ngrams, packing, relevance, setjoin, splitting
 from .sql import SQL  # noqa: F401
 from .classes import shingle_set, token_set
 from .common import first_deliveries, terms
@@ -103,3 +103,27 @@ def p10_pieces(spark: SparkSession, sf: str) -> DataFrame:
 def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
     sizes = materialize(token_counts(table(spark, sf, "documents"), "doc_id", "text"))
     return packing.containers(sizes, "doc_id", "n_tokens", limits(spark, sf)["container_capacity"])
+
+
+def mixed_documents(spark: SparkSession, sf: str) -> DataFrame:
+    documents = table(spark, sf, "documents")
+    centers = mixing.fit_topics(documents, "doc_id", "text")
+    sizes = materialize(mixing.sized(documents, "doc_id", "text", ["source", "lang"], centers))
+    return mixing.mix(sizes, table(spark, sf, "mix_targets"), "doc_id", "source", "lang")
+
+
+@query
+def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mixed_documents(spark, sf)
+
+
+@query
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.shares(mixed_documents(spark, sf), table(spark, sf, "mix_targets"), "source")
+
+
+@query
+def p7_varied(spark: SparkSession, sf: str) -> DataFrame:
+    posts = first_posts(spark, sf).select("id", "text", token_set(terms(F.col("text"))).alias("tokens")).persist()
+    chosen = diverse.varied_subset(posts, "id", "tokens", 100)
+    return chosen.join(posts.select("id", "text"), "id")
