@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stormglass.runtime import materialize, table
 
-from . import diverse, mixing, neardup, ngrams, packing, relevance, setjoin, splitting
+from . import diverse, mixing, neardup, ngrams, packing, relevance, setjoin, splitting, truncation
 from .sql import SQL  # noqa: F401
 from .classes import shingle_set, token_set
 from .common import first_deliveries, terms
@@ -127,3 +127,17 @@ def p7_varied(spark: SparkSession, sf: str) -> DataFrame:
     posts = first_posts(spark, sf).select("id", "text", token_set(terms(F.col("text"))).alias("tokens")).persist()
     chosen = diverse.varied_subset(posts, "id", "tokens", 100)
     return chosen.join(posts.select("id", "text"), "id")
+
+
+def cut_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.evidence(table(spark, sf, "hurricane_harvey"), "delivery_id", "id", "source", "text")
+
+
+@query
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return cut_texts(spark, sf).where("cut").select("delivery_id")
+
+
+@query
+def p1_report(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.truncation_report(cut_texts(spark, sf))
