@@ -9,56 +9,107 @@ characters, torn words and words no sentence ends with are found at the tail.
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections import Counter
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stormglass.runtime import materialize
 
-from .common import LINK
-
 #: Marks that systems put behind a cut.
 MARKS = ("…", "...", "[...]", "[…]", "(...)", "(…)", "(more)", "[more]", "(cont)", "(cont.)", "[cut]")
 NEAR = 15  #: a cut moved back to a word end loses fewer characters than this
 RULES_UP_TO = 200_000  #: learned rules up to which their table is broadcast
-OPENERS = {"“": "”", "(": ")", "[": "]", "{": "}", "«": "»", "「": "」", "『": "』", "<": ">"}
-CLOSERS = {c: o for o, c in OPENERS.items()}
-STOPS = r"[.!?。！？…”»」』)\]]"
-CJK = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"
-TOKEN = rf"#[\p{{L}}\p{{N}}_]+|{CJK}|[\p{{L}}\p{{N}}]+|[^\s\p{{L}}\p{{N}}]"
-
+FLUSH = 300_000
+CLOSERS = {"”": "“", ")": "(", "]": "[", "}": "{", "»": "«", "」": "「", "』": "『"}
+STOPS = ".!?。！？…”»」』)]"
 
-def unclosed(structure: Column) -> Column:
-    """Whether brackets and quotes, the only characters left in ``structure``, leave any open."""
+LINK = re.compile(r"https?://[^ \t\r\n]*")
+TAIL = re.compile(r"\s?(" + "|".join(map(re.escape, sorted(MARKS, key=len, reverse=True))) + r")(\s+https?://\S+)?$")
+STRUCTURE = re.compile("[" + re.escape("".join([*CLOSERS, *CLOSERS.values()])) + "]")
+#: Words with digits as 0, hashtags, single characters of scripts without blanks, single signs; a link or line end is the sign |.
+TOKEN = re.compile(r"#\w+|[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]|(?:(?![\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff_])\w)+|[^\w\s]|_")
+DIGITS, LINES = re.compile(r"\d+"), re.compile(r"[\r\n]+")
+BROKEN = re.compile(r"(?:\ufffd|&[#a-z0-9]{0,6}|\\u?[0-9a-fA-F]{0,3})$")
+LAST_LINK = re.compile(r"https?:\S*$")
+LAST_TAG = re.compile(r"#\w+$")
 
-    def open_at_end(s: str) -> bool:
-        stack: list[str] = []
-        for c in s:
-            if c in OPENERS:
-                stack.append(c)
-            elif stack and stack[-1] == CLOSERS[c]:
-                stack.pop()
-            # A closer without its opener belongs to a smiley or a list and changes nothing.
-        return any(c in "“«「『([{" for c in stack)
 
-    @F.pandas_udf("boolean")
-    def run(s: pd.Series) -> pd.Series:
-        known = {x: open_at_end(x) for x in s.unique()}
-        return s.map(known)
+def tokens(text: str) -> list[str]:
+    text = LINES.sub(" | ", LINK.sub(" | ", text)) if "http" in text or "\n" in text or "\r" in text else text
+    return TOKEN.findall(DIGITS.sub("0", text.lower()))
 
-    return run(structure)
 
+def unclosed(text: str) -> bool:
+    """Whether a quote or bracket is open at the end, by a stack automaton.
 
-def _features(df: DataFrame, key: str, ident: str, source: str, text: str) -> DataFrame:
-    t = F.coalesce(F.col(text), F.lit(""))
-    marks = "|".join("".join("\\" + c if c in ".[]()" else c for c in m) for m in sorted(MARKS, key=len, reverse=True))
-    base = df.select(F.col(key).alias("key"), F.col(ident).alias("ident"), F.col(source).alias("source"), F.regexp_replace(t, r"\s+$", "").alias("r"), t.rlike(r"\s$").alias("blank"), F.length(t).alias("raw_chars"), F.octet_length(t).alias("raw_octets"))
-    base = base.withColumn("tail", F.regexp_extract("r", rf"(?:\s?(?:{marks}))(?:\s+https?://\S+)?$", 0))
-    mark = F.regexp_extract("tail", rf"({marks})", 1)
-    base = base.withColumn("form", F.concat(mark, F.when(F.col("tail").contains("http"), "+").otherwise("")))
-    octets = F.octet_length(F.regexp_replace("r", "�", "?"))
-    return base.withColumns({"chars": F.length("r"), "kept": F.length("r") - F.length("tail"), "octets": octets, "wide": octets > F.length("r")})
+    A closer without its opener belongs to a smiley or a list and changes nothing.
+    """
+    stack: list[str] = []
+    for c in STRUCTURE.findall(text):
+        if c not in CLOSERS:
+            stack.append(c)
+        elif stack and stack[-1] == CLOSERS[c]:
+            stack.pop()
+    return bool(stack)
+
+
+FEATURES = "key {kind}, source string, copy boolean, chars int, octets int, raw_chars int, raw_octets int, wide boolean, form string, kept int, blank boolean, unclosed boolean, broken boolean, stopped boolean, tag boolean, link int, before string, last string"
+
+
+def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``key, source, text, copy`` in; what the end of each text looks like out."""
+    for batch in batches:
+        rows = []
+        for text in batch.column(2).to_pylist():
+            r = text.rstrip()
+            form, kept = "", len(r)
+            if ("…" in r or "..." in r or "]" in r or ")" in r) and (m := TAIL.search(r)):
+                form, kept = m[1] + ("+" if m[2] else ""), m.start()
+            octets, raw = len(r.replace("\ufffd", "?").encode()), len(text.replace("\ufffd", "?").encode())
+            open_ = bool(STRUCTURE.search(r)) and unclosed(r)
+            link = LAST_LINK.search(r) if "http" in r else None
+            end = r[-1:]
+            stop = not open_ and bool(end) and (end in STOPS or end == "\ufe0f" or unicodedata.category(end) in ("So", "Sk"))
+            tail = tokens(" ".join(r.rsplit(None, 2)[-2:])) if end and not stop and not link else []
+            last = tail[-1] if tail and (tail[-1][-1].isalnum() or tail[-1][0] == "#") else None
+            before = tail[-2] if last and len(tail) > 1 else None
+            if before == "@":  # names are no words
+                last = before = None
+            tag = end != "" and "#" in r and bool(LAST_TAG.search(r))
+            rows.append((len(r), octets, len(text), raw, octets > len(r), form, kept, len(text) > len(r), open_, bool(BROKEN.search(r)), stop, tag, len(link[0]) if link else 0, before, last))
+        names = [x.split()[0] for x in FEATURES.split(", ")]
+        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.int32(), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int32(), pa.string(), pa.string()]
+        if rows:
+            out = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *out], names=names)
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts in; counts of two tokens that follow each other out, and of link lengths under the sign |."""
+
+    def take(found: Counter) -> pa.RecordBatch:
+        a, b = zip(*found)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(list(found.values()), pa.int64())], names=["a", "b", "n"])
+
+    found: Counter = Counter()
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            own = tokens(text)
+            found.update(zip(own, own[1:]))
+            if "http" in text:
+                found.update(("|link", str(len(x))) for x in LINK.findall(text))
+        if len(found) > FLUSH:
+            yield take(found)
+            found = Counter()
+    if found:
+        yield take(found)
 
 
 def _baseline(group: pd.DataFrame) -> pd.DataFrame:
@@ -98,25 +149,14 @@ def _rules(rows: DataFrame) -> DataFrame:
     return own.unionByName(own.select(F.lit(None).cast("string").alias("source"), "unit", "form", "at").distinct())
 
 
-def _tokens(r: Column) -> Column:
-    """Tokens of a text in order: words with digits as 0, hashtags, single signs; a link is the sign |."""
-    low = F.regexp_replace(F.lower(F.regexp_replace(F.regexp_replace(r, LINK, " | "), r"[\n\r]+", " | ")), r"[0-9]+", "0")
-    return F.regexp_extract_all(low, F.lit(TOKEN), F.lit(0))
-
-
-def _ends(rows: DataFrame) -> DataFrame:
-    """``word, mid, stop``: how often a word within a text is followed by another word, and by the end of a sentence.
-
-    Only what has a next token counts, so cut tails do not teach their own words.
-    A number is told by the word before it.
-    """
-    t = F.col("t")
-    at = F.transform(F.sequence(F.lit(0), F.size("t") - 2), lambda i: F.struct(F.get(t, i - 1).alias("before"), F.get(t, i).alias("word"), F.get(t, i + 1).alias("next")))
-    each = rows.where(F.size("t") >= 2).select(F.inline(at)).where(F.col("word").rlike(r"^[#\p{L}\p{N}]"))
-    stop = F.col("next").rlike(rf"^(?:[#|]|{STOPS})|^[\p{{So}}\p{{Sk}}]").cast("int")
-    mid = F.col("next").rlike(r"^[\p{L}\p{N}]").cast("int")
-    word = F.when(F.col("word") == "0", F.concat_ws(" ", "before", "word")).otherwise(F.col("word"))
-    return each.groupBy(word.alias("word")).agg(F.sum(mid).alias("mid"), F.sum(stop).alias("stop"), F.count(F.lit(1)).alias("seen"))
+def _words(pairs: DataFrame) -> DataFrame:
+    """``word, mid, stop, seen``: how often a word within a text is followed by
+    another word, and by the end of a sentence. Only what has a next token
+    counts, so cut tails do not teach their own words."""
+    stop = F.col("b").rlike(r"^[#|.!?。！？…”»」』)\]]|^[\p{So}\p{Sk}]")
+    mid = F.col("b").rlike(r"^[\p{L}\p{N}]")
+    per = pairs.where(F.col("a").rlike(r"^[#\p{L}\p{N}]")).groupBy(F.col("a").alias("word"))
+    return per.agg(F.sum(F.when(mid, F.col("n")).otherwise(0)).alias("mid"), F.sum(F.when(stop, F.col("n")).otherwise(0)).alias("stop"), F.sum("n").alias("seen"))
 
 
 def _bounded(df: DataFrame) -> DataFrame:
@@ -132,74 +172,72 @@ def evidence(df: DataFrame, key: str, ident: str, source: str, text: str, min_se
     and not complete), mark (a mark where the source's cuts have it), broken (a
     torn character, escape or link at the end), torn (the last word is unknown
     and begins a known one), open (an unclosed quote or bracket, or a last word
-    that ends no sentence, where the source is known to lose ends). A null
+    that ends no sentence, where the source is known to lose ends or where it follows
+    the word before it as usual). A null
     ``ident`` has no copies; a null ``source`` is held against the rules of all
     sources; null and empty texts are complete. Fields of which no source of the
     table shows a limit give no limit cuts. Trailing blanks do not count.
     """
-    rows = _features(df, key, ident, source, text)
-    rules = _rules(rows)
-    longest = rows.where("ident IS NOT NULL AND chars > 0").groupBy("ident").agg(F.max(F.struct("chars", "r")).alias("m"), F.min("chars").alias("least"))
+    kind = df.schema[key].dataType.simpleString()
+    t = F.coalesce(F.col(text), F.lit(""))
+    rows = df.select(F.col(key).alias("key"), F.col(ident).alias("ident"), F.col(source).alias("source"), t.alias("text"))
+    pairs = materialize(rows.select("text").mapInArrow(_pairs, "a string, b string, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")))
+
+    # The longest text of each message; only messages with a shorter one are joined.
+    r = F.rtrim("text")
+    size = F.length(r)
+    longest = rows.where("ident IS NOT NULL AND text <> ''").groupBy("ident").agg(F.max(F.struct(size.alias("chars"), r.alias("r"))).alias("m"), F.min(size).alias("least"))
     longer = longest.where("least < m.chars").select("ident", F.col("m.r").alias("full"))
-    rows = rows.join(longer, "ident", "left")
-    copy = F.col("full").isNotNull() & (F.length("full") > F.col("chars")) & (F.col("chars") > 0) & F.col("full").startswith(F.col("r"))
-    structure = F.regexp_replace("r", r"[^“”()\[\]{}«»「」『』]", "")
-    rows = rows.select("key", "source", "r", "blank", "raw_chars", "raw_octets", "form", "kept", "chars", "octets", F.coalesce(copy, F.lit(False)).alias("copy"), unclosed(structure).alias("unclosed"))
-    t = F.col("t")
-    rows = rows.withColumn("t", _tokens(F.col("r"))).persist(StorageLevel.MEMORY_AND_DISK)
-
-    ends = materialize(_ends(rows.select("t")))
-    whole_link = rows.select(F.explode(F.regexp_extract_all("r", F.lit(LINK), F.lit(0))).alias("u")).groupBy(F.length("u").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    link = whole_link["n"] if whole_link else 0
-
-    last, before = F.get(t, F.size("t") - 1), F.get(t, F.size("t") - 2)
-    word = F.when(last == "0", F.concat_ws(" ", before, last)).otherwise(last)
-    tails = rows.withColumn("word", F.when(last.rlike(r"^[#\p{L}\p{N}]"), word))
-    known = ends.where(F.col("seen") >= min_seen)
+    beside = rows.join(longer, "ident", "left")
+    copy = F.col("full").isNotNull() & (F.length("full") > size) & (size > 0) & F.col("full").startswith(r)
+    tails = beside.select("key", "source", "text", F.coalesce(copy, F.lit(False)).alias("copy")).mapInArrow(_describe, FEATURES.format(kind=kind)).persist(StorageLevel.MEMORY_AND_DISK)
+    rules = _rules(tails)
+
+    words = _words(pairs)
+    links = pairs.where("a = '|link'").orderBy(F.desc("n"), "b").first()
+    link = int(links["b"]) if links else 0
+    known = words.where(F.col("seen") >= min_seen)
     begun = known.where(F.length("word") > 1).select(F.explode(F.expr("transform(sequence(1, length(word) - 1), i -> substr(word, 1, i))")).alias("word"), "seen")
-    begun = begun.unionAll(ends.sparkSession.createDataFrame([("h",), ("ht",), ("htt",), ("http",), ("https",)], "word string").withColumn("seen", F.lit(10**6)))
+    begun = begun.unionAll(df.sparkSession.createDataFrame([(x, 10**6) for x in ("h", "ht", "htt", "http", "https")], "word string, seen bigint"))
     # The words that stand last are far fewer than the rows; only they are judged.
-    judged = tails.where("word IS NOT NULL").select("word").distinct().join(begun.groupBy("word").agg(F.max("seen").alias("begins")), "word", "left").join(ends, "word", "left")
-    seen = F.coalesce("seen", F.lit(0))
-    torn = (F.coalesce("begins", F.lit(0)) >= min_seen) & (seen < F.least(F.lit(min_seen), F.col("begins") / 20 + 1)) & ~F.col("word").rlike(r"(^| )0$")
-    decided = F.coalesce("mid", F.lit(0)) + F.coalesce("stop", F.lit(0))
-    never = (seen >= min_seen) & (decided >= min_seen) & (F.coalesce("stop", F.lit(0)) < rare_stop * decided) & ~F.col("word").startswith("#")
-    verdict = materialize(judged.select("word", torn.alias("torn"), never.alias("never")).where("torn OR never"))
-    tails = tails.join(_bounded(verdict), "word", "left")
+    ending = tails.where("last IS NOT NULL").groupBy(F.coalesce("before", F.lit("")).alias("before"), F.col("last").alias("word")).agg(F.count(F.lit(1)).alias("ends"))
+    judged = ending.join(begun.groupBy("word").agg(F.max("seen").alias("begins")), "word", "left").join(words, "word", "left").join(pairs.select(F.col("a").alias("before"), F.col("b").alias("word"), F.col("n").alias("together")), ["before", "word"], "left")
+    seen, begins, stop = (F.coalesce(c, F.lit(0)) for c in ("seen", "begins", "stop"))
+    torn = (begins >= min_seen) & (seen < F.least(F.lit(min_seen), begins / 20 + 1)) & (F.col("word") != "0")
+    decided = F.coalesce("mid", F.lit(0)) + stop
+    never = (seen >= min_seen) & (decided >= min_seen) & (stop < rare_stop * decided) & ~F.col("word").startswith("#")
+    usual = (F.coalesce("together", F.lit(0)) >= min_seen) & F.col("before").rlike(r"^[\p{L}\p{N}]")
+    verdict = materialize(judged.select(F.col("before").alias("w1"), F.col("word").alias("w2"), torn.alias("torn"), never.alias("never"), usual.alias("usual")).where("torn OR never"))
 
     small = _bounded(rules)
-    kept = small.where("unit = 'kept'").select(F.col("source").alias("s1"), F.col("form").alias("f1"), F.col("at").alias("a1"), F.lit(True).alias("marked"))
-    rows_by = {"chars": "chars", "octets": "octets", "raw_chars": "chars", "raw_octets": "octets"}
-    joins = [(kept, F.col("source").eqNullSafe(F.col("s1")) & (F.col("form") == F.col("f1")) & (F.col("kept") == F.col("a1")))]
-    for column, unit in rows_by.items():
+    kept = small.where("unit = 'kept'").select(F.col("source").alias("s_kept"), F.col("form").alias("f_kept"), F.col("at").alias("a_kept"), F.lit(True).alias("marked"))
+    joins = [(kept, F.col("source").eqNullSafe(F.col("s_kept")) & (F.col("form") == F.col("f_kept")) & (F.col("kept") == F.col("a_kept")))]
+    for column, unit in {"chars": "chars", "octets": "octets", "raw_chars": "chars", "raw_octets": "octets"}.items():
         full = small.where(F.col("unit") == unit).select(F.col("source").alias(f"s_{column}"), F.col("at").alias(f"a_{column}"), F.lit(True).alias(f"full_{column}"))
         joins.append((full, F.col("source").eqNullSafe(F.col(f"s_{column}")) & (F.col(column) == F.col(f"a_{column}"))))
     for full, on in joins:
         tails = tails.join(full if small is rules else F.broadcast(full), on, "left")
+    tails = tails.join(_bounded(verdict), (F.coalesce("before", F.lit("")) == F.col("w1")) & (F.col("last") == F.col("w2")), "left")
 
-    r = F.col("r")
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
-    tail_link = F.regexp_extract("r", r"https?:\S*$", 0)
-    torn_link = (F.length(tail_link) > 0) & (F.length(tail_link) < link)
-    broken = r.rlike("(?:�|&[#a-z0-9]{0,6}|\\\\u?[0-9a-fA-F]{0,3})$") | torn_link
-    stopped = r.rlike(rf"(?:{STOPS}|[\p{{So}}\p{{Sk}}\x{{fe0f}}])$") & ~F.col("unclosed")
-    finished = stopped | ((F.length(tail_link) > 0) & ~torn_link) | (r.rlike(r"#[\p{L}\p{N}_]+$") & ~yes("torn"))
+    torn_link = (F.col("link") > 0) & (F.col("link") < link)
+    broken = F.col("broken") | torn_link
+    finished = F.col("stopped") | ((F.col("link") > 0) & ~torn_link) | (F.col("tag") & ~yes("torn"))
+    plain, any_text = F.col("form") == "", F.col("chars") > 0
     # At a blank in the field's last place the text went on, whatever stands before it.
-    at_limit = (F.col("form") == "") & (((yes("full_chars") | yes("full_octets")) & ~finished) | ((yes("full_raw_chars") | yes("full_raw_octets")) & F.col("blank") & (F.col("chars") > 0)))
-    plain = F.col("form") == ""
-    # By source: torn words tell how many texts lose their end; words no sentence ends with are
-    # taken as cuts only where they are no more than such cuts leave between words.
-    loses = tails.where(plain & ~F.col("copy") & ~at_limit & F.col("source").isNotNull()).groupBy("source").agg(F.sum((yes("torn") | broken).cast("int")).alias("a"), F.sum((yes("never") & ~broken).cast("int")).alias("b"), F.count(F.lit(1)).alias("n"))
-
-    lossy = _bounded(materialize(loses.where("b <= 0.6 * a AND a >= 0.01 * n").select(F.col("source").alias("s4"), F.lit(True).alias("lossy"))))
+    at_limit = plain & any_text & (((yes("full_chars") | yes("full_octets")) & ~finished) | ((yes("full_raw_chars") | yes("full_raw_octets")) & F.col("blank")))
+    # By source: torn words tell how many texts lose their end; words no sentence ends with count
+    # alone where they are no more than such cuts leave between words.
+    free = tails.where(plain & ~F.col("copy") & ~at_limit & F.col("source").isNotNull()).groupBy("source").agg(F.sum((yes("torn") | broken).cast("int")).alias("a"), F.sum((yes("never") & ~broken).cast("int")).alias("b"), F.count(F.lit(1)).alias("n"))
+    lossy = _bounded(materialize(free.where("b <= 0.6 * a AND a >= 0.01 * n").select(F.col("source").alias("s4"), F.lit(True).alias("lossy"))))
     tails = tails.join(lossy, F.col("source") == F.col("s4"), "left")
     reason = (
         F.when(F.col("copy"), "copy")
         .when(at_limit, "limit")
         .when(yes("marked"), "mark")
-        .when((F.col("chars") > 0) & plain & broken, "broken")
+        .when(any_text & plain & broken, "broken")
         .when(plain & yes("torn"), "torn")
-        .when(plain & yes("lossy") & (yes("never") | F.col("unclosed")), "open")
+        .when(plain & ((yes("never") & (yes("usual") | yes("lossy"))) | (yes("lossy") & F.col("unclosed"))), "open")
     )
     return tails.select(F.col("key").alias(key), F.col("source"), reason.isNotNull().alias("cut"), reason.alias("reason"))
 
