@@ -1,4 +1,4 @@
-"""Registry of the core queries: name -> callable, and name -> SQL."""
+"""All core queries."""
 
 from __future__ import annotations
 
@@ -6,21 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stormglass.functions.times import created
-from stormglass.runtime import stream_table, table
+from stormglass.runtime import stream_table
 from stormglass.streaming import dedup
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+from .registry import QUERIES, SQL, query
 
 
 @query("SELECT delivery_id, id FROM (SELECT delivery_id, id, row_number() OVER (PARTITION BY id ORDER BY delivery_id) AS rn FROM hurricane_harvey WHERE id IS NOT NULL) WHERE rn > 1")
@@ -28,3 +17,8 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     stream = stream_table(spark, sf, "hurricane_harvey")
     found = dedup.copies(stream, "id", "delivery_id", "received_at", created(F.col("created_at")))
     return found.select(F.col("ord").alias("delivery_id"), F.col("key").alias("id"))
+
+
+from . import base  # noqa: E402, F401
+
+__all__ = ["QUERIES", "SQL"]
