@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,6 +68,18 @@ def walk_rank(nodes: DataFrame, steps: DataFrame, *by: str, length: int = WALK,
     return joined.select(*by, "node", (F.col("r") / F.col("s")).alias("rank"))
 
 
+def series_rank(u: np.ndarray, v: np.ndarray, total: np.ndarray, n: int, length: int = WALK, stop: float = STOP) -> np.ndarray:
+    """As :func:`walk_rank` for one graph held in arrays."""
+    out = np.bincount(u, total, n)
+    p = total / out[u] if len(u) else total
+    now = np.ones(n)
+    visits = now.copy()
+    for _ in range(length - 1):
+        now = (1 - stop) * np.bincount(v, now[u] * p, n)
+        visits += now
+    return visits / visits.sum() if n else visits
+
+
 def neighborhood_utility(ranks: DataFrame, undirected: DataFrame, *by: str) -> DataFrame:
     """``*by, node, utility``: a node's rank and that of its neighbours."""
     both = undirected.select(*by, F.col("a").alias("node"), F.col("b").alias("other")).unionAll(undirected.select(*by, F.col("b").alias("node"), F.col("a").alias("other")))

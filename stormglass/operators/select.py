@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -119,26 +120,29 @@ def diversify(names: list[str], terms: dict[str, frozenset], stop: float = DIVER
 def inc_summary(words: DataFrame, snapshots: DataFrame, cover: float | None = None, score: str = "new", length: int = 20) -> DataFrame:
     """``snapshot, rank_no, tweet_id, score``: the diversified summary of each window.
 
-    Word graph, walk ranks and window edges are joins over all snapshots at
-    once; the greedy choice, sequential by nature, runs per snapshot.
+    The directed word graphs of all windows are one join over counts per step;
+    ranks and the greedy choice, sequential by nature, run per window on its
+    graph, which the choice needs as a whole anyway. Nothing but sets of terms,
+    edges and ids goes there; texts stay outside.
     """
     walkable = graph.window_edges(words)
-    nodes = snapshots.select("snapshot", F.explode("terms").alias("node")).distinct()
-    ranks = graph.walk_rank(nodes, graph.transitions(walkable, "snapshot"), "snapshot", length=length)
-    near = walkable.groupBy("snapshot", F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).agg(F.max("total").alias("w"))
-    left = snapshots.select("snapshot", F.lit("p").alias("kind"), F.col("tweet_id").alias("a"), F.array_distinct("terms").alias("t"), F.lit(0.0).alias("x"))
-    none = F.array().cast("array<string>")
-    mid = ranks.select("snapshot", F.lit("r").alias("kind"), F.col("node").alias("a"), none.alias("t"), F.col("rank").alias("x"))
-    right = near.select("snapshot", F.lit("e").alias("kind"), F.col("a"), F.array("b").alias("t"), F.lit(0.0).alias("x"))
+    left = snapshots.select("snapshot", F.lit(True).alias("post"), F.col("tweet_id").alias("a"), F.lit(None).cast("string").alias("b"), F.array_join(F.array_distinct("terms"), " ").alias("t"), F.lit(0).cast("bigint").alias("w"))
+    right = walkable.select("snapshot", F.lit(False).alias("post"), F.col("u").alias("a"), F.col("v").alias("b"), F.lit(None).cast("string").alias("t"), F.col("total").alias("w"))
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        p, r, e = (g[g["kind"] == k] for k in ("p", "r", "e"))
-        terms = {a: frozenset(t) for a, t in sorted(zip(p["a"], p["t"]))}
-        rank = dict(sorted(zip(r["a"], r["x"])))
+        p, e = g[g["post"]], g[~g["post"]]
+        terms = {a: frozenset(t.split(" ")) for a, t in sorted(zip(p["a"], p["t"]), key=lambda x: x[0])}
+        names = sorted({t for ts in terms.values() for t in ts})
+        at = {t: i for i, t in enumerate(names)}
+        u = np.array([at[a] for a in e["a"]], np.int64)
+        v = np.array([at[b] for b in e["b"]], np.int64)
+        order = np.lexsort((v, u))
+        value = graph.series_rank(u[order], v[order], e["w"].to_numpy(float)[order], len(names), length)
+        rank = {t: float(value[i]) for t, i in at.items()}
         near: dict[str, set[str]] = {}
-        for a, t in zip(e["a"], e["t"]):
-            near.setdefault(a, set()).add(t[0])
-            near.setdefault(t[0], set()).add(a)
+        for a, b in zip(u.tolist(), v.tolist()):
+            near.setdefault(names[a], set()).add(names[b])
+            near.setdefault(names[b], set()).add(names[a])
         posts: dict[str, set] = {t: set() for t in rank}
         for a, ts in terms.items():
             for t in ts:
@@ -147,5 +151,4 @@ def inc_summary(words: DataFrame, snapshots: DataFrame, cover: float | None = No
         best = diversify([a for a, _ in chosen], terms, cover=cover)
         return pd.DataFrame({"snapshot": key[0], "rank_no": range(1, len(best) + 1), "tweet_id": [a for a, _ in best], "score": [s for _, s in best]})
 
-    rows = left.unionAll(mid).unionAll(right)
-    return rows.groupBy("snapshot").applyInPandas(run, "snapshot int, rank_no int, tweet_id string, score double")
+    return left.unionAll(right).groupBy("snapshot").applyInPandas(run, "snapshot int, rank_no int, tweet_id string, score double")
