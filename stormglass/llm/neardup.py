@@ -43,15 +43,15 @@ def minhashes(values: np.ndarray, offsets: np.ndarray, a: np.ndarray, c: np.ndar
     return out
 
 
-def _numbered(base: list[int], batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+def _numbered(base: dict[int, int], batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
     """Batches with the number of their first set. The sets of a partition come sorted, so a partition that is computed again gets the same numbers."""
-    at = base[TaskContext.get().partitionId()]
+    at = base.get(TaskContext.get().partitionId(), 0)
     for batch in batches:
         yield at, batch
         at += batch.num_rows
 
 
-def _bands(bands: int, rows: int, split: int, seed: int, base: list[int]):
+def _bands(bands: int, rows: int, split: int, seed: int, base: dict[int, int]):
     """Sets in; per bucket (a band and a part of its keys) the sets' band keys out, in order of the sets' numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +142,7 @@ def _expand(kind: type):
     return run
 
 
-def _names(base: list[int]):
+def _names(base: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for start, batch in _numbered(base, batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(start, start + batch.num_rows)), batch.column(0)], names=["number", "cls"])
@@ -223,8 +223,7 @@ def similar_classes(whole: DataFrame, threshold: float = 0.8, bands: int = 20, r
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sets = whole.where(F.size("tokens") > 0).select("cls", "tokens").sortWithinPartitions("cls")
     size = dict(sets.groupBy(F.spark_partition_id().alias("p")).count().collect())
-    total, most = sum(size.values()), max(size, default=-1) + 1
-    base = [sum(size.get(q, 0) for q in range(p)) for p in range(most)]
+    total, base = sum(size.values()), {p: sum(n for q, n in size.items() if q < p) for p in size}
     kind, split = np.uint32 if total < 2**32 else np.uint64, max(1, math.ceil(total / bucket_rows))
     keys = sets.mapInArrow(_bands(bands, rows, split, seed, base), "bucket int, start bigint, keys binary, places binary")
     blocks = keys.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_candidates(kind), "l binary, r binary, every boolean")
