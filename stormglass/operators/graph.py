@@ -53,9 +53,10 @@ def walk_rank(nodes: DataFrame, steps: DataFrame, *by: str, length: int = WALK,
     """``*by, node, rank``: the expected share of visits of walks of up to
     ``length`` nodes from every node, which end with probability ``stop`` at each.
 
-    Deterministic: the visits of the next step are a join with the transitions.
-    Plans are cut every few steps by a written table.
+    Deterministic: the visits of the next step are a join with the transitions,
+    which are written once; plans are cut every few steps the same way.
     """
+    steps = materialize(steps) if length > 2 else steps
     now = nodes.select(*by, F.col("node"), F.lit(1.0).alias("r"))
     total = now
     for k in range(1, length):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,10 +61,12 @@ def stop_words(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def words(spark: SparkSession, sf: str) -> DataFrame:
-    """Posts with their step and terms, those with a term. Stop words are a short list of the language and become part of the expression."""
+    """Posts with their step and terms, those with a term; persisted, since most
+    queries read them several times and extraction is the dear part. Stop words
+    are a short list of the language and become part of the expression."""
     stop = [r["word"] for r in stop_words(spark, sf).collect()]
     terms = extract_terms(F.col("text"), stop)
-    return with_step(posts(spark, sf)).withColumn("terms", terms).where(F.size("terms") >= 1)
+    return with_step(posts(spark, sf)).withColumn("terms", terms).where(F.size("terms") >= 1).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def id_list(spark: SparkSession, sf: str) -> DataFrame:
