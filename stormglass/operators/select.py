@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -74,24 +75,37 @@ def choose_posts(topics: list[str], rank: dict[str, float], terms: dict[str, fro
     for p, ts in terms.items():
         for t in ts:
             by.setdefault(t, []).append(p)
+    met: dict[str, list[str]] = {}
+
+    def repeats(p: str) -> bool:
+        shared = Counter(q for t in terms[p] for q in met.get(t, ()))
+        return any(n / (len(terms[p]) + len(terms[q]) - n) > overlap for q, n in shared.items())
+
     for t in topics:
         own = [p for p in by.get(t, []) if p not in taken]
-        taken |= set(own)
-        valued = sorted(((sum(rank.get(x, 0.0) for x in terms[p] if x not in outside), p) for p in own), key=lambda v: (-round(v[0], 12), v[1]))
+        taken.update(own)
+        valued = sorted(((sum(rank.get(x, 0.0) for x in sorted(terms[p]) if x not in outside), p) for p in own), key=lambda v: (-round(v[0], 12), v[1]))
         kept = 0
         for value, p in valued:
             if kept == per_topic:
                 break
-            if all(jaccard(terms[p], terms[q]) <= overlap for q, _ in chosen):
+            if not repeats(p):
                 chosen.append((p, value))
                 kept += 1
+                for x in terms[p]:
+                    met.setdefault(x, []).append(p)
     return chosen
 
 
 def diversify(names: list[str], terms: dict[str, frozenset], stop: float = DIVERSE_STOP, cover: float | None = None) -> list[tuple[str, float]]:
     """Posts by what they share with the others; what is shared with a chosen one
     counts no more. With ``cover`` those at least that similar to it are left out."""
-    s = {p: {q: v for q in names if q != p and (v := jaccard(terms[p], terms[q])) > 0} for p in names}
+    by: dict[str, list[str]] = {}
+    for p in names:
+        for t in terms[p]:
+            by.setdefault(t, []).append(p)
+    shared = {p: Counter(q for t in terms[p] for q in by[t] if q != p) for p in names}
+    s = {p: {q: n / (len(terms[p]) + len(terms[q]) - n) for q, n in sorted(shared[p].items())} for p in names}
     value = {p: sum(x.values()) for p, x in s.items()}
     heap = [(-round(v, 12), p) for p, v in value.items()]
     heapq.heapify(heap)
@@ -117,8 +131,10 @@ def diversify(names: list[str], terms: dict[str, frozenset], stop: float = DIVER
     return out or [(p, 0.0) for p in names[:1]]
 
 
-def inc_summary(words: DataFrame, snapshots: DataFrame, cover: float | None = None, score: str = "new", length: int = 20) -> DataFrame:
-    """``snapshot, rank_no, tweet_id, score``: the diversified summary of each window.
+def inc_summary(words: DataFrame, snapshots: DataFrame, cover: float | None = None, score: str = "new", length: int = 20, stage: str = "diverse", per_topic: int = PER_TOPIC) -> DataFrame:
+    """``snapshot, rank_no, tweet_id, score``: the diversified summary of each window;
+    with ``stage`` "posts" what is chosen before that, with "topics" the subtopic
+    terms (in place of ids) with their rank.
 
     The directed word graphs of all windows are one join over counts per step;
     ranks and the greedy choice, sequential by nature, run per window on its
@@ -147,8 +163,12 @@ def inc_summary(words: DataFrame, snapshots: DataFrame, cover: float | None = No
         for a, ts in terms.items():
             for t in ts:
                 posts[t].add(a)
-        chosen = choose_posts(subtopics(rank, near, posts), rank, terms, score=score)
-        best = diversify([a for a, _ in chosen], terms, cover=cover)
+        found = subtopics(rank, near, posts)
+        best = [(t, rank[t]) for t in found]
+        if stage != "topics":
+            best = choose_posts(found, rank, terms, per_topic, score=score)
+        if stage == "diverse":
+            best = diversify([a for a, _ in best], terms, cover=cover)
         return pd.DataFrame({"snapshot": key[0], "rank_no": range(1, len(best) + 1), "tweet_id": [a for a, _ in best], "score": [s for _, s in best]})
 
     return left.unionAll(right).groupBy("snapshot").applyInPandas(run, "snapshot int, rank_no int, tweet_id string, score double")

@@ -19,6 +19,6 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.col("ord").alias("delivery_id"), F.col("key").alias("id"))
 
 
-from . import base, models, vectors  # noqa: E402, F401
+from . import base, models, parts, vectors  # noqa: E402, F401
 
 __all__ = ["QUERIES", "SQL"]

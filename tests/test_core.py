@@ -336,3 +336,21 @@ def test_entry(spark):
 
     rows = __spark_entry__.entry(spark)
     assert rows.columns == ["step", "rank_no", "tweet_id", "text", "score"] and rows.count() > 0
+
+
+def test_alias_table_and_walks():
+    from stormglass.functions import sampling
+
+    keep, alias = sampling.alias_table([0.4, 0.15, 0.1, 0.35])
+    assert keep == pytest.approx([0.25, 0.15, 0.1, 0.2]) and alias == [0, 0, 3, 0]
+    drawn = np.bincount(sampling.draw(keep, alias, np.random.default_rng(0), 100_000), minlength=4) / 100_000
+    assert drawn == pytest.approx([0.4, 0.15, 0.1, 0.35], abs=0.01)
+    u, v, w = np.array([0, 0, 1, 2]), np.array([1, 2, 2, 0]), np.array([1.0, 3, 1, 1])
+    visits = sampling.sample_walks(u, v, w, 3, walks=20_000)
+    assert visits / visits.sum() == pytest.approx(graph.series_rank(u, v, w, 3), abs=0.01)
+
+
+def test_joined_sentences():
+    texts = ["the river flooded in Northfield.", "the river flooded in Lakewood.", "the river flooded in Northfield.", "the river flooded in Lakewood."]
+    found = paths.search([paths.tag_text(t) for t in texts])
+    assert any(" northfield" in s and " lakewood" in s and " and " in s for s, _ in found)
