@@ -130,15 +130,17 @@ def _baseline(group: pd.DataFrame) -> pd.DataFrame:
     if near >= max(20, 0.005 * n):
         plain = group[group["form"] == ""].groupby(unit)["n"].sum()
         before = sum(int(plain.get(limit - i, 0)) for i in range(4, 14)) / 10
-        if plain.get(limit, 0) >= 3 * max(before, 1):
-            for at in range(limit - (2 if by_octets else 0), limit + 1):
-                out.append((source, unit, "", at))
+        marked = 0
         for form, rows in group[group["form"] != ""].groupby("form"):
             kept = rows.groupby("kept")["n"].sum()
             top = int(kept.index[kept[::-1].cumsum()[::-1] > max(1, kept.sum() * 0.001)].max()) if kept.sum() > 1 else 0
             close = rows[(rows["kept"] > top - NEAR) & (rows["kept"] <= top)]
             if close["n"].sum() >= max(5, 0.001 * n) and close["chars"].max() >= 0.85 * limit:
+                marked += int(close["n"].sum())
                 out += [(source, "kept", form, at) for at in range(top - NEAR + 1, int(kept.index.max()) + 1)]
+        # A source that marks its cuts leaves no unmarked ones: what fills its field exactly is whole.
+        if plain.get(limit, 0) >= 3 * max(before, 1) and plain.get(limit, 0) > marked:
+            out.append((source, unit, "", limit))
     return pd.DataFrame(out, columns=["source", "unit", "form", "at"])
 
 
