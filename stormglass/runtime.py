@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh path below the shared folder of ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) a temporary folder is
+    It is deleted when the application ends. Only where the session names none (tests, a laptop) a temporary folder is
     created and set, and removed when the process ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -22,7 +22,10 @@ def scratch_dir(spark: SparkSession) -> str:
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/stormglass-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/stormglass-{uuid.uuid4().hex}"
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(own)
+    return path
 
 
 def materialize(df: DataFrame) -> DataFrame:
