@@ -60,7 +60,11 @@ def unclosed(text: str) -> bool:
     return bool(stack)
 
 
-FEATURES = "key {kind}, source string, copy boolean, chars int, octets int, raw_chars int, raw_octets int, wide boolean, form string, kept int, blank boolean, unclosed boolean, broken boolean, stopped boolean, tag boolean, link int, before string, last string"
+def tag_at_end(text: str) -> bool:
+    return "#" in text and bool(LAST_TAG.search(text))
+
+
+FEATURES = "key {kind}, source string, copy boolean, chars int, octets int, raw_chars int, raw_octets int, wide boolean, form string, kept int, blank boolean, unclosed boolean, lone boolean, broken boolean, stopped boolean, tag boolean, link int, before string, last string"
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,6 +78,8 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 form, kept = m[1] + ("+" if m[2] else ""), m.start()
             octets, raw = len(r.replace("\ufffd", "?").encode()), len(text.replace("\ufffd", "?").encode())
             open_ = bool(STRUCTURE.search(r)) and unclosed(r)
+            # Opened by the first character and never closed: not the work of reordered words.
+            lone = open_ and STRUCTURE.findall(r) == [r[0]] and not tag_at_end(r)
             link = LAST_LINK.search(r) if "http" in r else None
             end = r[-1:]
             stop = not open_ and bool(end) and (end in STOPS or end == "\ufe0f" or unicodedata.category(end) in ("So", "Sk"))
@@ -82,10 +88,10 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             before = tail[-2] if last and len(tail) > 1 else None
             if before == "@":  # names are no words
                 last = before = None
-            tag = end != "" and "#" in r and bool(LAST_TAG.search(r))
-            rows.append((len(r), octets, len(text), raw, octets > len(r), form, kept, len(text) > len(r), open_, bool(BROKEN.search(r)), stop, tag, len(link[0]) if link else 0, before, last))
+            tag = tag_at_end(r)
+            rows.append((len(r), octets, len(text), raw, octets > len(r), form, kept, len(text) > len(r), open_, lone, bool(BROKEN.search(r)), stop, tag, len(link[0]) if link else 0, before, last))
         names = [x.split()[0] for x in FEATURES.split(", ")]
-        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.int32(), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int32(), pa.string(), pa.string()]
+        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.int32(), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int32(), pa.string(), pa.string()]
         if rows:
             out = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *out], names=names)
@@ -137,7 +143,9 @@ def _baseline(group: pd.DataFrame) -> pd.DataFrame:
             close = rows[(rows["kept"] > top - NEAR) & (rows["kept"] <= top)]
             if close["n"].sum() >= max(5, 0.001 * n) and close["chars"].max() >= 0.85 * limit:
                 marked += int(close["n"].sum())
-                out += [(source, "kept", form, at) for at in range(top - NEAR + 1, int(kept.index.max()) + 1)]
+                # A mark seen hardly anywhere else is no author's: a longer word may have been dropped before it.
+                low = top - NEAR * (2 if close["n"].sum() >= 0.9 * kept.sum() else 1) + 1
+                out += [(source, "kept", form, at) for at in range(max(0, low), int(kept.index.max()) + 1)]
         # A source that marks its cuts leaves no unmarked ones: what fills its field exactly is whole.
         if plain.get(limit, 0) >= 3 * max(before, 1) and plain.get(limit, 0) > marked:
             out.append((source, unit, "", limit))
@@ -239,7 +247,7 @@ def evidence(df: DataFrame, key: str, ident: str, source: str, text: str, min_se
         .when(yes("marked"), "mark")
         .when(any_text & plain & broken, "broken")
         .when(plain & yes("torn"), "torn")
-        .when(plain & ((yes("never") & (yes("usual") | yes("lossy"))) | (yes("lossy") & F.col("unclosed"))), "open")
+        .when(plain & ((yes("never") & (yes("usual") | yes("lossy"))) | (F.col("unclosed") & yes("lossy")) | (F.col("lone") & F.col("last").isNotNull())), "open")
     )
     return tails.select(F.col("key").alias(key), F.col("source"), reason.isNotNull().alias("cut"), reason.alias("reason"))
 
