@@ -19,13 +19,17 @@ NOMINEE = "node int, key bigint, row binary"
 
 
 def _rows(values: np.ndarray, offsets: np.ndarray, freq: np.ndarray, n: int, dims: int, seed: int) -> np.ndarray:
-    """Feature rows: rarity-weighted terms hashed with signs to ``dims`` columns, lengths damped."""
+    """Feature rows: rarity-weighted terms hashed with signs to ``dims`` columns, lengths damped.
+
+    A term of a single record (a typo, a number) says nothing about what the
+    collection holds and has no weight; one of two has half of its own.
+    """
     with np.errstate(over="ignore"):
         h = (values ^ np.uint64(seed * 2 + 1)) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
-    count = freq[(values & np.uint64(SLOTS - 1)).astype(np.int64)]
-    weight = np.log((n + 1) / np.maximum(1, count)) * np.where((h >> np.uint64(63)) == 0, 1.0, -1.0)
+    count = np.maximum(1, freq[(values & np.uint64(SLOTS - 1)).astype(np.int64)])
+    weight = np.log((n + 1) / count) * (1 - 1 / count) * np.where((h >> np.uint64(63)) == 0, 1.0, -1.0)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     flat = np.bincount(row * dims + ((h >> np.uint64(40)) % np.uint64(dims)).astype(np.int64), weight, (len(offsets) - 1) * dims)
     x = flat.reshape(-1, dims)

@@ -398,7 +398,7 @@ def test_varied_subset_at_the_edges(spark):
 
 
 def test_more_records_than_dimensions(spark):
-    df = frame(spark, [(i, [i * 7919 + 1, i * 104729 + 3]) for i in range(60)], "id bigint, tokens array<bigint>")
+    df = frame(spark, [(i, [i % 30 + 1, i % 29 + 1000]) for i in range(60)], "id bigint, tokens array<bigint>")
     got = diverse.varied_subset(df, "id", "tokens", 40, per_round=8, dims=16).collect()
     assert len({r["id"] for r in got}) == 40
 
