@@ -109,7 +109,7 @@ def gr22_dedup_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return tagged.groupBy("step").applyInPandas(run, "step int, summary_id bigint")
 
 
-@query("SELECT i, round(keep, 9) AS keep, other FROM (VALUES (0, 0.25, 0), (1, 0.15, 0), (2, 0.10, 3), (3, 0.20, 0)) t(i, keep, other)")
+@query("SELECT i, round(CAST(keep AS DOUBLE), 9) AS keep, other FROM (VALUES (0, 0.25, 0), (1, 0.15, 0), (2, 0.10, 3), (3, 0.20, 0)) t(i, keep, other)")
 def mth13_alias_table(spark: SparkSession, sf: str) -> DataFrame:
     keep, alias = sampling.alias_table([0.4, 0.15, 0.1, 0.35])
     return spark.createDataFrame([(i, round(k, 9), a) for i, (k, a) in enumerate(zip(keep, alias))], "i int, keep double, other int")

@@ -26,7 +26,7 @@ def agg2_term_count_windowed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {SNAPSHOTS}, c AS (SELECT snapshot, term, count(*) AS n FROM (SELECT snapshot, unnest(terms) AS term FROM snap) GROUP BY ALL)
-SELECT snapshot, term, n, rn FROM (SELECT *, row_number() OVER (PARTITION BY snapshot ORDER BY n DESC, term) AS rn FROM c) WHERE rn <= 20""")
+SELECT snapshot, term, n, CAST(rn AS INT) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY snapshot ORDER BY n DESC, term) AS rn FROM c) WHERE rn <= 20""")
 def top_terms_per_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window
 
@@ -69,7 +69,7 @@ def agg7_visit_share(spark: SparkSession, sf: str) -> DataFrame:
     return c.crossJoin(F.broadcast(c.agg(F.sum("n").alias("s")))).select("term", F.round(F.col("n") / F.col("s"), 9).alias("share"))
 
 
-@query("""SELECT label, i, round(avg(x), 6) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) GROUP BY label, i""")
+@query("""SELECT label, CAST(i AS INT) AS i, round(avg(x), 6) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) GROUP BY label, i""")
 def agg9_centroid(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
     return e.groupBy("label", "i").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("x"))
@@ -178,7 +178,7 @@ def mth4_sq_euclid(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {WORDS}, o AS (SELECT tweet_id, unnest(terms) AS term, generate_subscripts(terms, 1) - 1 AS i FROM w)
-SELECT l.tweet_id, l.i AS at, min(r.i) AS next FROM o l JOIN o r ON l.tweet_id = r.tweet_id AND l.term = 'homes' AND r.i > l.i AND r.i - l.i <= 3 GROUP BY ALL""")
+SELECT l.tweet_id, CAST(l.i AS INT) AS at, CAST(min(r.i) AS INT) AS next FROM o l JOIN o r ON l.tweet_id = r.tweet_id AND l.term = 'homes' AND r.i > l.i AND r.i - l.i <= 3 GROUP BY l.tweet_id, l.i""")
 def jn10_position_gap_join(spark: SparkSession, sf: str) -> DataFrame:
     o = P.words(spark, sf).select("tweet_id", F.posexplode("terms").alias("i", "term"))
     left, right = o.where("term = 'homes'").select("tweet_id", F.col("i").alias("at")), o.select("tweet_id", F.col("i").alias("j"))
