@@ -64,8 +64,11 @@ def walk_rank(nodes: DataFrame, steps: DataFrame, *by: str, length: int = WALK,
         now = materialize(moved) if k % cut_every == 0 else moved
         total = total.unionAll(now)
     visits = total.groupBy(*by, "node").agg(F.sum("r").alias("r"))
-    whole = visits.groupBy(*by).agg(F.sum("r").alias("s"))
-    joined = visits.join(whole, list(by)) if by else visits.crossJoin(F.broadcast(whole))
+    if by:
+        joined = visits.join(visits.groupBy(*by).agg(F.sum("r").alias("s")), list(by))
+    else:
+        visits = materialize(visits)
+        joined = visits.withColumn("s", F.lit(visits.agg(F.sum("r")).first()[0] or 1.0))
     return joined.select(*by, "node", (F.col("r") / F.col("s")).alias("rank"))
 
 

@@ -34,11 +34,10 @@ def doc_freq(words: DataFrame) -> DataFrame:
 def weights(words: DataFrame, key: str, *by: str) -> DataFrame:
     """``*by, key, term, weight``: each occurrence weighs ln(1 + N / occurrences),
     N and occurrences within the group ``by`` (a snapshot or step; all posts if none)."""
-    n = words.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     counts = term_count(words, *by).withColumnRenamed("n", "_c")
     tf = occurrences(words, *by, key).groupBy(*by, key, "term").agg(F.count(F.lit(1)).alias("tf"))
     joined = tf.join(counts, [*by, "term"])
-    joined = joined.join(n, list(by)) if by else joined.crossJoin(F.broadcast(n))
+    joined = joined.join(words.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")), list(by)) if by else joined.withColumn("_n", F.lit(words.count()))
     return joined.select(*by, key, "term", (F.col("tf") * F.log1p(F.col("_n") / F.col("_c"))).alias("weight"))
 
 

@@ -136,9 +136,9 @@ def txt12_node_class(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT n_length, overlap, CAST(overlap AS DOUBLE) AS plain, CAST(overlap * n_length AS DOUBLE) AS by_length, round(overlap * CASE WHEN n_length > 1 THEN log2(n_length) ELSE 1.0 END, 6) AS by_log FROM (SELECT unnest(range(1, 19)) AS n_length), (SELECT unnest(range(1, 6)) AS overlap)")
 def mth9_path_score(spark: SparkSession, sf: str) -> DataFrame:
-    n, o = spark.range(1, 19).withColumnRenamed("id", "n_length"), spark.range(1, 6).withColumnRenamed("id", "overlap")
+    n = spark.range(1, 19).select(F.col("id").alias("n_length"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(5).cast("bigint"))).alias("overlap"))
     log = F.when(F.col("n_length") > 1, F.log2("n_length")).otherwise(1.0)
-    return n.join(o, F.lit(True)).select("n_length", "overlap", F.col("overlap").cast("double").alias("plain"), (F.col("overlap") * F.col("n_length")).cast("double").alias("by_length"), F.round(F.col("overlap") * log, 6).alias("by_log"))
+    return n.select("n_length", "overlap", F.col("overlap").cast("double").alias("plain"), (F.col("overlap") * F.col("n_length")).cast("double").alias("by_length"), F.round(F.col("overlap") * log, 6).alias("by_log"))
 
 
 def stream_words(spark: SparkSession, sf: str) -> DataFrame:

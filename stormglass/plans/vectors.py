@@ -66,7 +66,8 @@ def agg6_avg_position(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {WORDS} SELECT term, round(count(*) / sum(count(*)) OVER (), 9) AS share FROM (SELECT unnest(terms) AS term FROM w) GROUP BY term")
 def agg7_visit_share(spark: SparkSession, sf: str) -> DataFrame:
     c = V.term_count(P.words(spark, sf))
-    return c.crossJoin(F.broadcast(c.agg(F.sum("n").alias("s")))).select("term", F.round(F.col("n") / F.col("s"), 9).alias("share"))
+    whole = c.agg(F.sum("n")).first()[0] or 1
+    return c.select("term", F.round(F.col("n") / F.lit(whole), 9).alias("share"))
 
 
 @query("""SELECT label, CAST(i AS INT) AS i, round(avg(x), 6) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) GROUP BY label, i""")
