@@ -52,13 +52,13 @@ def gr13_lexrank_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query()
-def gr18_sumblr_summary(spark: SparkSession, sf: str) -> DataFrame:
+def gr18_mmr_summary(spark: SparkSession, sf: str) -> DataFrame:
     words, _ = windows_of(spark, sf)
     return with_text(spark, sf, cluster.micro_cluster_summary(words)).select("step", "rank_no", "tweet_id", "text", F.round("score", 6).alias("score"))
 
 
 @query()
-def gr20_opinosis_summary(spark: SparkSession, sf: str) -> DataFrame:
+def gr20_path_search(spark: SparkSession, sf: str) -> DataFrame:
     _, snaps = windows_of(spark, sf)
     tagged = materialize(paths.tagged(P.posts(spark, sf), "tweet_id", "text"))
     return paths.path_summary(snaps.select("snapshot", "tweet_id").join(tagged, "tweet_id"))

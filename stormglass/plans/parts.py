@@ -17,7 +17,7 @@ from stormglass.sources import posts as P
 from stormglass.sources import sinks
 
 from .base import CREATED
-from .models import gr20_opinosis_summary, topic_model, windows_of
+from .models import gr20_path_search, topic_model, windows_of
 from .registry import query
 from .vectors import JACCARD, WEIGHTS
 
@@ -82,17 +82,17 @@ def snk3_write_topic_model(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def top7_gain_sort_limit(spark: SparkSession, sf: str) -> DataFrame:
     order = Window.partitionBy("snapshot").orderBy(F.desc("gain"), "sentence")
-    return gr20_opinosis_summary(spark, sf).withColumn("rn", F.row_number().over(order)).where("rn <= 20")
+    return gr20_path_search(spark, sf).withColumn("rn", F.row_number().over(order)).where("rn <= 20")
 
 
 @query()
 def top10_candidate_order(spark: SparkSession, sf: str) -> DataFrame:
-    return gr20_opinosis_summary(spark, sf).orderBy(F.desc("snapshot"), "rank_no")
+    return gr20_path_search(spark, sf).orderBy(F.desc("snapshot"), "rank_no")
 
 
 @query()
 def gr21_collapse(spark: SparkSession, sf: str) -> DataFrame:
-    return gr20_opinosis_summary(spark, sf).where(F.col("sentence").contains(" and "))
+    return gr20_path_search(spark, sf).where(F.col("sentence").contains(" and "))
 
 
 @query()
