@@ -45,7 +45,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stream_table(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int = 8) -> DataFrame:
+def stream_table(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int = 16) -> DataFrame:
     """One of the test tables as a stream of its files, a Parquet file or folder."""
     schema = table(spark, sf_dir, name).schema
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
