@@ -199,4 +199,4 @@ def st5_st6_online_clusters(spark: SparkSession, sf: str) -> DataFrame:
     h = table(spark, sf, "hurricane_harvey").where("id IS NOT NULL AND text IS NOT NULL")
     first = h.groupBy("id").agg(F.min(F.struct("delivery_id", "lang", "created_at", "text")).alias("m")).select(F.col("id").cast("string").alias("tweet_id"), F.coalesce(F.lower("m.lang"), F.lit("-")).alias("lang"), F.unix_millis(created(F.col("m.created_at"))).alias("created_at_ms"), F.col("m.text").alias("text"))
     words = P.words_of(spark, sf, S.with_step(first.where("created_at_ms IS NOT NULL")), "text").where(F.size("terms") >= 1)
-    return cluster.micro_cluster_summary(words.where("lang NOT IN ('en')"), "lang")
+    return cluster.micro_cluster_summary(words, "lang")

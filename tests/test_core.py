@@ -354,3 +354,12 @@ def test_joined_sentences():
     texts = ["the river flooded in Northfield.", "the river flooded in Lakewood.", "the river flooded in Northfield.", "the river flooded in Lakewood."]
     found = paths.search([paths.tag_text(t) for t in texts])
     assert any(" northfield" in s and " lakewood" in s and " and " in s for s, _ in found)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_every_language_is_clustered(spark):
+    from stormglass.plans import queries
+
+    h = spark.read.parquet(f"{SF}/hurricane_harvey.parquet")
+    got = {r["stream"] for r in queries.QUERIES["st5_st6_online_clusters"](spark, SF).select("stream").distinct().collect()}
+    assert h.where("lower(lang) = 'en'").count() and "en" in got
