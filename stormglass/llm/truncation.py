@@ -174,7 +174,7 @@ def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= RULES_UP_TO else df
 
 
-def evidence(df: DataFrame, key: str, ident: str, source: str, text: str, min_seen: int = 5, rare_stop: float = 0.01) -> DataFrame:
+def evidence(df: DataFrame, key: str, ident: str, source: str, text: str, min_seen: int = 5, rare_stop: float = 0.01, usual_share: float = 0.001) -> DataFrame:
     """``key, source, cut, reason`` of every row.
 
     Reasons, the first that holds: copy (another row of the same ``ident`` has
@@ -187,6 +187,7 @@ def evidence(df: DataFrame, key: str, ident: str, source: str, text: str, min_se
     ``ident`` has no copies; a null ``source`` is held against the rules of all
     sources; null and empty texts are complete. Fields of which no source of the
     table shows a limit give no limit cuts. Trailing blanks do not count.
+    ``min_seen`` is the least evidence; beyond it only shares decide, so more rows of the same kind are judged alike.
     """
     kind = df.schema[key].dataType.simpleString()
     t = F.coalesce(F.col(text), F.lit(""))
@@ -212,11 +213,13 @@ def evidence(df: DataFrame, key: str, ident: str, source: str, text: str, min_se
     # The words that stand last are far fewer than the rows; only they are judged.
     ending = tails.where("last IS NOT NULL").groupBy(F.coalesce("before", F.lit("")).alias("before"), F.col("last").alias("word")).agg(F.count(F.lit(1)).alias("ends"))
     judged = ending.join(begun.groupBy("word").agg(F.max("seen").alias("begins")), "word", "left").join(words, "word", "left").join(pairs.select(F.col("a").alias("before"), F.col("b").alias("word"), F.col("n").alias("together")), ["before", "word"], "left")
+    judged = judged.join(words.select(F.col("word").alias("before"), F.col("seen").alias("seen_before")), "before", "left")
     seen, begins, stop = (F.coalesce(c, F.lit(0)) for c in ("seen", "begins", "stop"))
-    torn = (begins >= min_seen) & (seen < F.least(F.lit(min_seen), begins / 20 + 1)) & (F.col("word") != "0")
+    # Against the known word only: a number of its own would be passed by fragments once there are rows enough.
+    torn = (begins >= min_seen) & (seen < begins / 20 + 1) & (F.col("word") != "0")
     decided = F.coalesce("mid", F.lit(0)) + stop
     never = (seen >= min_seen) & (decided >= min_seen) & (stop < rare_stop * decided) & ~F.col("word").startswith("#")
-    usual = (F.coalesce("together", F.lit(0)) >= min_seen) & F.col("before").rlike(r"^[\p{L}\p{N}]")
+    usual = (F.coalesce("together", F.lit(0)) >= F.greatest(F.lit(min_seen), usual_share * F.col("seen_before"))) & F.col("before").rlike(r"^[\p{L}\p{N}]")
     verdict = materialize(judged.select(F.col("before").alias("w1"), F.col("word").alias("w2"), torn.alias("torn"), never.alias("never"), usual.alias("usual")).where("torn OR never"))
 
     small = _bounded(rules)

@@ -231,6 +231,16 @@ def test_cut_texts(spark):
         assert len((got & own) - cut) <= 0.03 * len(got & own), source
 
 
+def test_cuts_are_judged_alike_in_more_rows(spark):
+    for m in (1, 10):
+        texts = ["people close the gate now."] * 1500 * m + ["th gate near here now."] * m + ["stay near the gate now."] * 100 * m
+        rows = [(i, i, "a", t, "x") for i, t in enumerate(texts)]
+        n = len(rows)
+        rows += [(n, n, "a", "people close th", "x"), (n + 1, n + 1, "b", "stay at the gate near", "x")]
+        found = {r["d"]: r["reason"] for r in truncation.evidence(frame(spark, rows, POSTS), "d", "id", "source", "text").collect()}
+        assert found[n] == "torn" and found[n + 1] is None, m
+
+
 def test_cut_texts_of_nothing(spark):
     df = truncation.evidence(frame(spark, [], POSTS), "d", "id", "source", "text")
     assert df.count() == 0 and truncation.truncation_report(df).count() == 0
