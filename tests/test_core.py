@@ -363,3 +363,15 @@ def test_every_language_is_clustered(spark):
     h = spark.read.parquet(f"{SF}/hurricane_harvey.parquet")
     got = {r["stream"] for r in queries.QUERIES["st5_st6_online_clusters"](spark, SF).select("stream").distinct().collect()}
     assert h.where("lower(lang) = 'en'").count() and "en" in got
+
+
+def test_paths_reach_an_end_of_one_post():
+    texts = ["the river flooded homes.", "the river flooded homes in towns that we all know"]
+    assert any(s == "the river flooded homes ." for s, _ in paths.search([paths.tag_text(t) for t in texts]))
+
+
+def test_every_path_is_tried():
+    # More than 20,000 paths from the first word; the best, along all words, comes last.
+    names = ["the", *[c * 2 for c in "zyxwvutsrqponmlk"]]
+    texts = [" ".join(names)] * 2 + [f"{a} {b}" for i, a in enumerate(names) for b in names[i + 2 : i + 4]]
+    assert paths.search([paths.tag_text(t) for t in texts])[0][0] == " ".join([*names, "."])
