@@ -375,3 +375,14 @@ def test_every_path_is_tried():
     names = ["the", *[c * 2 for c in "zyxwvutsrqponmlk"]]
     texts = [" ".join(names)] * 2 + [f"{a} {b}" for i, a in enumerate(names) for b in names[i + 2 : i + 4]]
     assert paths.search([paths.tag_text(t) for t in texts])[0][0] == " ".join([*names, "."])
+
+
+def test_first_step_is_clustered_by_kmeans(monkeypatch):
+    import pandas as pd
+
+    starts, forget = [], cluster.Online.forget
+    monkeypatch.setattr(cluster.Online, "forget", lambda o, before: (starts.append([c.n for c in o.clusters]), forget(o, before)))
+    # Posts without a common word would each start a cluster.
+    rows = [(f"p{i:02}", i // 30, i, [f"w{i}"]) for i in range(31)]
+    cluster.online_clusters(pd.DataFrame(rows, columns=["tweet_id", "step", "created_at_ms", "terms"]))
+    assert len(starts[0]) <= 10 and sum(starts[0]) == 30
