@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stormglass.runtime import materialize
@@ -194,13 +194,13 @@ def evidence(df: DataFrame, key: str, ident: str, source: str, text: str, min_se
     rows = df.select(F.col(key).alias("key"), F.col(ident).alias("ident"), F.col(source).alias("source"), t.alias("text"))
     pairs = materialize(rows.select("text").mapInArrow(_pairs, "a string, b string, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")))
 
-    # The longest text of each message; only messages with a shorter one are joined.
+    # Of the different texts of a message in order, one that any other goes on from is followed by such a one.
     r = F.rtrim("text")
-    size = F.length(r)
-    longest = rows.where("ident IS NOT NULL AND text <> ''").groupBy("ident").agg(F.max(F.struct(size.alias("chars"), r.alias("r"))).alias("m"), F.min(size).alias("least"))
-    longer = longest.where("least < m.chars").select("ident", F.col("m.r").alias("full"))
-    beside = rows.join(longer, "ident", "left")
-    copy = F.col("full").isNotNull() & (F.length("full") > size) & (size > 0) & F.col("full").startswith(r)
+    texts = rows.where("ident IS NOT NULL").select("ident", r.alias("begin")).where("begin <> ''").repartition("ident").distinct()
+    after = F.lead("begin").over(Window.partitionBy("ident").orderBy("begin"))
+    short = texts.withColumn("after", after).where(F.col("after").startswith(F.col("begin"))).select("ident", "begin", F.lit(True).alias("goes_on"))
+    copy = F.col("goes_on")
+    beside = rows.withColumn("begin", r).join(short, ["ident", "begin"], "left")
     tails = beside.select("key", "source", "text", F.coalesce(copy, F.lit(False)).alias("copy")).mapInArrow(_describe, FEATURES.format(kind=kind)).persist(StorageLevel.MEMORY_AND_DISK)
     rules = _rules(tails)
 

@@ -241,6 +241,13 @@ def test_cuts_are_judged_alike_in_more_rows(spark):
         assert found[n] == "torn" and found[n + 1] is None, m
 
 
+def test_any_copy_that_goes_on_shows_a_cut(spark):
+    texts = ["water rises in", "water rises in the old town", "Water rises in the old town, they say", "water rises", " water"]
+    rows = [(i, 1, "a", t, "x") for i, t in enumerate(texts)] + [(9, None, "a", "water rises in", "x"), (10, None, "a", "water rises in town", "x")]
+    found = {r["d"]: r["reason"] for r in truncation.evidence(frame(spark, rows, POSTS), "d", "id", "source", "text").collect()}
+    assert {d for d, x in found.items() if x == "copy"} == {0, 3} and len(found) == len(rows)
+
+
 def test_cut_texts_of_nothing(spark):
     df = truncation.evidence(frame(spark, [], POSTS), "d", "id", "source", "text")
     assert df.count() == 0 and truncation.truncation_report(df).count() == 0
