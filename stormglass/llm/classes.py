@@ -12,17 +12,16 @@ def token_set(tokens: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t))))
 
 
-def shingle_set(tokens: Column, width: int, bits: int = 64) -> Column:
-    """The different runs of ``width`` elements as sorted hashes of 64 or 32 bits; none if there are fewer.
-
-    With 32 bits half as much is moved; that any two different shingles of a pair
-    of posts share a hash has a chance below 1e-7.
-    """
+def shingle_set(tokens: Column, width: int) -> Column:
+    """The different runs of ``width`` elements as sorted 64-bit hashes; none if there are fewer."""
     at = F.sequence(F.lit(0), F.size(tokens) - width)
-    kind = "int" if bits == 32 else "bigint"
     runs = F.transform(at, lambda i: F.xxhash64(*[F.get(tokens, i + k) for k in range(width)]))
-    runs = F.transform(runs, lambda h: h.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")) if bits == 32 else runs
-    return F.when(F.size(tokens) >= width, F.array_sort(F.array_distinct(runs))).otherwise(F.array().cast(f"array<{kind}>"))
+    return F.when(F.size(tokens) >= width, F.array_sort(F.array_distinct(runs))).otherwise(F.array().cast("array<bigint>"))
+
+
+def short(tokens: Column) -> Column:
+    """The hashes cut to 31 bits, for what only narrows down: half as much is moved."""
+    return F.array_sort(F.array_distinct(F.transform(tokens, lambda h: h.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))))
 
 
 def keep_partitioned(df: DataFrame) -> DataFrame:
@@ -36,14 +35,18 @@ def keep_partitioned(df: DataFrame) -> DataFrame:
         spark.conf.set(name, before)
 
 
-def classes(members: DataFrame, key: str, tokens: str) -> tuple[DataFrame, DataFrame]:
-    """``(cls, rep, n, tokens)`` per different set, and ``(cls, key)`` per record.
+def classes(members: DataFrame, key: str, tokens: str, cut: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``(cls, rep, n, tokens)`` per different set, and ``(cls, key, tokens)`` per record.
 
     Copies of one set are combined before the shuffle, so a third of all rows
     being copies costs no more than one row per map task. ``rep`` is the
-    smallest key. Both results rest on one persisted table, so that the records
-    are read and hashed once.
+    smallest key. With ``cut`` the classes' tokens are those of :func:`short`;
+    what is one class is decided on the whole hashes. Both results rest on one
+    persisted table, the second, so that the records are read and hashed once;
+    it keeps the records' partitioning. Unpersist both when done.
     """
-    named = members.select(F.xxhash64(F.col(tokens), F.size(tokens)).alias("cls"), F.col(key).alias("key"), F.col(tokens).alias("tokens")).persist(StorageLevel.MEMORY_AND_DISK)
-    whole = named.groupBy("cls").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("tokens").alias("tokens"))
-    return keep_partitioned(whole), named.select("cls", "key")
+    named = members.select(F.xxhash64(F.col(tokens), F.size(tokens)).alias("cls"), F.col(key).alias("key"), F.col(tokens).alias("tokens"))
+    named = keep_partitioned(named)
+    own = F.first(short(F.col("tokens")) if cut else F.col("tokens")).alias("tokens")
+    whole = named.groupBy("cls").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("n"), own)
+    return keep_partitioned(whole), named

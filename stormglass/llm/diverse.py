@@ -93,7 +93,7 @@ def _meet(k: int):
     return run
 
 
-def varied_subset(records: DataFrame, key: str, tokens: str, k: int, per_round: int = 25, dims: int = 128) -> DataFrame:
+def varied_subset(records: DataFrame, key: str, tokens: str, k: int, per_round: int | None = None, dims: int | None = None) -> DataFrame:
     """``rank, key`` of ``k`` records that cover the variety of all.
 
     ``records`` holds unique bigint keys and hashed term sets
@@ -104,11 +104,17 @@ def varied_subset(records: DataFrame, key: str, tokens: str, k: int, per_round:
     the subset, however many there are. Once the rows' rank is used up the
     features are drawn anew, without the chosen records, until there are ``k``.
 
+    Rounds grow with ``k``: a round takes k / 40 records, 25 at least, and the
+    features have k columns, 128 at least and 1024 at most, unless given; so the
+    number of jobs stays near 40 up to k = 40,000.
+
     Null and empty sets have no features and are taken only after all others,
     by key; with fewer records than ``k`` all are taken. An empty table gives an
     empty result. Other columns are ignored; ties go to the smaller key.
     """
     spark = records.sparkSession
+    dims = dims or min(1024, max(128, k))
+    per_round = min(dims, per_round or max(25, k // 40))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     named = records.select(F.col(key).cast("bigint").alias("key"), F.coalesce(F.col(tokens), F.array().cast("array<bigint>")).alias("tokens"))
     sets = named.where(F.size("tokens") > 0).repartition(parts, "key").sortWithinPartitions("key").persist(StorageLevel.MEMORY_AND_DISK)
@@ -137,3 +143,16 @@ def varied_subset(records: DataFrame, key: str, tokens: str, k: int, per_round:
         rest = named.join(spark.createDataFrame([(c,) for c in chosen], "key bigint"), "key", "left_anti").orderBy("key").limit(k - len(chosen))
         chosen += [r["key"] for r in rest.select("key").collect()]
     return spark.createDataFrame(list(enumerate(chosen, 1)), f"rank int, `{key}` bigint")
+
+
+def coverage(records: DataFrame, chosen: DataFrame, key: str, group: str) -> DataFrame:
+    """``n_groups, n_covered, share_largest, share_largest_all``: of the values of ``group`` those the
+    chosen records (``key``) hold, and the share of the most frequent value among the chosen and among all.
+
+    Null groups are left out; without chosen records the share is null.
+    """
+    rows = records.where(F.col(group).isNotNull()).select(key, F.col(group).alias("_g"))
+    all_ = rows.groupBy("_g").agg(F.count(F.lit(1)).alias("n"))
+    own = rows.join(chosen.select(key), key, "left_semi").groupBy("_g").agg(F.count(F.lit(1)).alias("m"))
+    both = all_.join(own, "_g", "left")
+    return both.agg(F.count(F.lit(1)).alias("n_groups"), F.count("m").alias("n_covered"), (F.max("m") / F.sum("m")).alias("share_largest"), (F.max("n") / F.sum("n")).alias("share_largest_all"))

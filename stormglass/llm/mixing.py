@@ -19,53 +19,84 @@ RANK_MAX = 4.0
 
 
 def _features(tokens: list[int]) -> np.ndarray:
+    """Square roots of the counts of hashed tokens, scaled to bytes."""
     v = np.sqrt(np.bincount(np.array(tokens, np.int64) * 2654435761 % 2**32 >> 24, minlength=DIMS).astype(np.float64))
-    return v / (np.linalg.norm(v) or 1.0)
+    return np.rint(v / (v.max() or 1.0) * 255).astype(np.uint8)
 
 
-def fit_topics(df: DataFrame, key: str, text: str, topics: int = 8, sample: int = 2000, rounds: int = 20, tokenizer: str = TOKENIZER) -> np.ndarray:
-    """Centroids of ``topics`` groups of texts, by spherical k-means over hashed tokens.
-
-    Fitted on a bounded sample, the ``sample`` rows of the smallest hash of
-    their key; every text is assigned later. Deterministic. Without any text
-    there is one topic.
-    """
+def sized(df: DataFrame, key: str, text: str, keep: list[str], tokenizer: str = TOKENIZER) -> DataFrame:
+    """``key, *keep, n_tokens, vector`` of every row; texts are read once. A null or empty text has no token and a null vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = load(tokenizer)[0].encode_ordinary
         for batch in batches:
-            rows = [_features(encode(t)).tolist() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["h", "v"])
-
-    named = df.where(F.length(text) > 0).select(F.xxhash64(key).alias("h"), F.col(text).alias("t"))
-    last = named.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    kept = named.where(F.col("h") <= F.lit(last)) if last is not None else named.limit(0)
-    found = sorted((r["h"], r["v"]) for r in kept.mapInArrow(run, "h bigint, v array<double>").collect())
-    x = np.array([v for _, v in found]).reshape(-1, DIMS)
-    if not len(x):
+            tokens = [encode(t) if t else [] for t in batch.column(batch.num_columns - 1).to_pylist()]
+            vector = [_features(t).tobytes() if t else None for t in tokens]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(map(len, tokens), pa.int64()), pa.array(vector, pa.binary())], names=[key, *keep, "n_tokens", "vector"])
+
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in [key, *keep])
+    return df.select(key, *keep, text).mapInArrow(run, f"{kinds}, n_tokens bigint, vector binary")
+
+
+def _unit(vectors: list[bytes]) -> np.ndarray:
+    x = np.frombuffer(b"".join(vectors), np.uint8).reshape(-1, DIMS).astype(np.float64)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+
+
+def fit_topics(sizes: DataFrame, key: str, topics: int = 8, sample: int = 2000, rounds: int = 20, settled: float = 1e-4) -> np.ndarray:
+    """Centroids of ``topics`` groups of texts, by spherical k-means over the vectors of all rows.
+
+    ``sizes`` is a result of :func:`sized`, materialized. The first centroids are
+    far from each other among a bounded sample, the ``sample`` rows of the
+    smallest hash of their key; each round is a pass over all rows that adds up
+    vectors per centroid, until no centroid moves by more than ``settled``.
+    Deterministic but for the order of sums. Without any text there is one topic.
+    """
+    rows = sizes.where("vector IS NOT NULL")
+    start = rows.select(F.xxhash64(key).alias("h"), "vector").orderBy("h", "vector").limit(sample).collect()
+    if not start:
         return np.zeros((1, DIMS))
+    x = _unit([bytes(r["vector"]) for r in start])
     centers = x[:1]
     while len(centers) < min(topics, len(x)):
         centers = np.vstack([centers, x[(x @ centers.T).max(axis=1).argmin()]])
+
+    def sums(centers: np.ndarray):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros_like(centers)
+            for batch in batches:
+                if batch.num_rows:
+                    v = _unit(batch.column(0).to_pylist())
+                    np.add.at(total, (v @ centers.T).argmax(axis=1), v)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(centers)), DIMS)), pa.array(np.tile(np.arange(DIMS), len(centers))), pa.array(total.ravel())], names=["c", "d", "x"])
+
+        return run
+
     for _ in range(rounds):
-        own = (x @ centers.T).argmax(axis=1)
-        centers = np.array([x[own == k].sum(axis=0) if (own == k).any() else centers[k] for k in range(len(centers))])
-        centers /= np.linalg.norm(centers, axis=1, keepdims=True)
+        added = rows.select("vector").mapInArrow(sums(centers), "c bigint, d bigint, x double").groupBy("c", "d").agg(F.sum("x").alias("x")).toArrow()
+        total = np.zeros_like(centers)
+        total[added.column("c").to_numpy(), added.column("d").to_numpy()] = added.column("x").to_numpy()
+        norm = np.linalg.norm(total, axis=1, keepdims=True)
+        new = np.where(norm > 0, total / np.maximum(norm, 1e-9), centers)
+        moved = np.abs(new - centers).max()
+        centers = new
+        if moved < settled:
+            break
     return centers
 
 
-def sized(df: DataFrame, key: str, text: str, keep: list[str], centers: np.ndarray, tokenizer: str = TOKENIZER) -> DataFrame:
-    """``key, *keep, n_tokens, topic`` of every row; texts are read once. A null or empty text has no token and topic 0."""
+def assigned(sizes: DataFrame, centers: np.ndarray) -> DataFrame:
+    """``sizes`` with ``topic`` in place of the vector; rows without text have topic 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = load(tokenizer)[0].encode_ordinary
         for batch in batches:
-            tokens = [encode(t) if t else [] for t in batch.column(batch.num_columns - 1).to_pylist()]
-            topic = [int((centers @ _features(t)).argmax()) if t else 0 for t in tokens]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(map(len, tokens), pa.int64()), pa.array(topic, pa.int32())], names=[key, *keep, "n_tokens", "topic"])
+            at = batch.schema.get_field_index("vector")
+            vectors = [v or bytes(DIMS) for v in batch.column(at).to_pylist()]
+            topic = (_unit(vectors) @ centers.T).round(9).argmax(axis=1) if vectors else np.zeros(0, int)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns) if i != at), pa.array(topic, pa.int32())], names=[*(n for n in batch.schema.names if n != "vector"), "topic"])
 
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in [key, *keep])
-    return df.select(key, *keep, text).mapInArrow(run, f"{kinds}, n_tokens bigint, topic int")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sizes.schema if f.name != "vector")
+    return sizes.mapInArrow(run, f"{kinds}, topic int")
 
 
 def _fill(weight: np.ndarray, tokens: np.ndarray, cap: float, target: float) -> np.ndarray:
@@ -84,7 +115,7 @@ def _fill(weight: np.ndarray, tokens: np.ndarray, cap: float, target: float) ->
     return np.minimum(cap, hi * weight)
 
 
-def rake(cells: list[tuple], targets: dict[str, tuple[float, int]], total: float | None = None, rounds: int = 100) -> tuple[np.ndarray, float]:
+def rake(cells: list[tuple], targets: dict[str, tuple[float, int]], total: float | None = None, rounds: int = 10_000) -> tuple[np.ndarray, float]:
     """Weights per cell (source, language, topic, tokens), and the size of the mix.
 
     Language and topic marginals are those of the collection's targeted tokens;
@@ -92,7 +123,9 @@ def rake(cells: list[tuple], targets: dict[str, tuple[float, int]], total: float
     hold exactly, with no weight above the source's largest number of repeats.
     Without ``total`` the mix is the largest in which every target can hold;
     sources without tokens are left out of that, the others' shares then sum up
-    to less than 1 of it and are scaled.
+    to less than 1 of it and are scaled. Rounds end when no weight moves any more;
+    where caps leave no weights that meet all marginals, the source shares hold
+    and the rounds end at ``rounds``: :func:`marginals` reports the gap.
     """
     tokens = np.array([c[3] for c in cells], float)
     dims = [np.unique([str(c[i]) for c in cells], return_inverse=True) for i in range(3)]
@@ -121,16 +154,16 @@ def rake(cells: list[tuple], targets: dict[str, tuple[float, int]], total: float
     return weight, total
 
 
-def mix(sizes: DataFrame, targets: DataFrame, key: str, source: str, lang: str, total: float | None = None, passes: int = 6) -> DataFrame:
-    """``key, source, n_tokens, repeats`` of the records in the mix.
+def mix(sizes: DataFrame, targets: DataFrame, key: str, source: str, lang: str, total: float | None = None) -> DataFrame:
+    """``key, source, lang, topic, n_tokens, repeats`` of the records in the mix.
 
-    ``sizes`` is a result of :func:`sized`, materialized; ``targets`` has
+    ``sizes`` is a result of :func:`assigned`, materialized; ``targets`` has
     ``source, target_share, max_repeats``. A record in a cell of weight w is
     used floor(w) times, and once more with the probability of the rest: ranks
     u / p with u from a hash of the key, taken in order until the source's
     tokens are reached. A record that no longer fits what is left is passed
-    over, and the next pass looks for smaller ones, so that each source ends
-    below its target by less than the smallest record left.
+    over, and the next pass looks for smaller ones, until none fits, so that each
+    source ends below its target by less than the smallest record left.
 
     A source's records are never sorted in one task: ranks are counted in steps
     and only the step where the target lies is ordered. Records of a null or
@@ -151,10 +184,10 @@ def mix(sizes: DataFrame, targets: DataFrame, key: str, source: str, lang: str,
     share = sum(aims[s][0] for s in {c[0] for c in cells}) or 1.0
     used = {r["s"]: r["t"] for r in ranked.groupBy("s").agg(F.sum(F.col("base") * F.col("n_tokens")).alias("t")).collect()}
     left = {s: aims[s][0] / share * whole - t for s, t in used.items()}
-    chosen = ranked.where("base > 0").select("k", "s", "n_tokens", F.col("base").alias("repeats"))
+    chosen = ranked.where("base > 0").select("k", "s", "l", "topic", "n_tokens", F.col("base").alias("repeats"))
     open_ = ranked.where("rank IS NOT NULL")
     step = F.least(F.floor(F.col("rank") * (STEPS / RANK_MAX)), F.lit(STEPS - 1)).cast("int")
-    for _ in range(passes):
+    while True:
         room = spark.createDataFrame([(s, float(v)) for s, v in left.items()], "s string, room double")
         fits = open_.join(F.broadcast(room), "s").where(F.col("n_tokens") <= F.col("room")).withColumn("step", step)
         counted = fits.groupBy("s", "step").agg(F.sum("n_tokens").alias("t")).collect()
@@ -176,15 +209,35 @@ def mix(sizes: DataFrame, targets: DataFrame, key: str, source: str, lang: str,
         at = fits.join(F.broadcast(spark.createDataFrame(edge, "s string, edge int, rest double")), "s")
         run = Window.partitionBy("s").orderBy("rank", "k")
         inner = at.where("step = edge").withColumn("sum", F.sum("n_tokens").over(run)).where("sum <= rest")
-        new = materialize(at.where("step < edge").select("k", "s", "n_tokens").unionByName(inner.select("k", "s", "n_tokens")))
+        new = materialize(at.where("step < edge").select("k", "s", "l", "topic", "n_tokens").unionByName(inner.select("k", "s", "l", "topic", "n_tokens")))
         gained = {r["s"]: r["t"] for r in new.groupBy("s").agg(F.sum("n_tokens").alias("t")).collect()}
         if not gained:
             break
         left = {s: v - gained.get(s, 0) for s, v in left.items()}
         chosen = chosen.unionByName(new.withColumn("repeats", F.lit(1)))
         open_ = open_.join(new.select("k"), "k", "left_anti")
-    out = chosen.groupBy("k", "s").agg(F.max("n_tokens").alias("n_tokens"), F.sum("repeats").cast("int").alias("repeats"))
-    return out.select(F.col("k").alias(key), F.col("s").alias(source), "n_tokens", "repeats")
+    out = chosen.groupBy("k", "s", "l", "topic").agg(F.max("n_tokens").alias("n_tokens"), F.sum("repeats").cast("int").alias("repeats"))
+    return out.select(F.col("k").alias(key), F.col("s").alias(source), F.col("l").alias(lang), "topic", "n_tokens", "repeats")
+
+
+def marginals(mixed: DataFrame, sizes: DataFrame, targets: DataFrame, source: str, lang: str) -> DataFrame:
+    """``dimension, value, target_share, actual_share``: the shares of tokens the mix was
+    raked to, and those it has, by source, language and topic.
+
+    Source targets are those given, scaled to the sources that have tokens;
+    languages and topics have the shares of the targeted sources' tokens.
+    """
+    live = targets.where("source IS NOT NULL AND target_share > 0").select(F.col("source").alias("s"), "target_share").distinct()
+    pool = sizes.select(F.col(source).alias("s"), F.coalesce(F.lower(lang), F.lit("-")).alias("l"), F.col("topic").cast("string").alias("t"), "n_tokens").where("n_tokens > 0").join(live, "s")
+    has = pool.select("s", "target_share").distinct()
+    aims = [has.select(F.lit("source").alias("dimension"), F.col("s").alias("value"), F.col("target_share").alias("x"))]
+    aims += [pool.groupBy(F.lit(name).alias("dimension"), F.col(c).alias("value")).agg(F.sum("n_tokens").cast("double").alias("x")) for name, c in (("lang", "l"), ("topic", "t"))]
+    own = mixed.select(F.col(source).alias("s"), F.col(lang).alias("l"), F.col("topic").cast("string").alias("t"), (F.col("n_tokens") * F.col("repeats")).alias("n"))
+    got = [own.groupBy(F.lit(name).alias("dimension"), F.col(c).alias("value")).agg(F.sum("n").cast("double").alias("y")) for name, c in (("source", "s"), ("lang", "l"), ("topic", "t"))]
+    whole = Window.partitionBy("dimension")
+    aim = aims[0].unionAll(aims[1]).unionAll(aims[2])
+    both = aim.join(got[0].unionAll(got[1]).unionAll(got[2]), ["dimension", "value"], "left").withColumn("y", F.coalesce("y", F.lit(0.0)))
+    return both.select("dimension", "value", F.round(F.col("x") / F.sum("x").over(whole), 6).alias("target_share"), F.round(F.col("y") / F.sum("y").over(whole), 6).alias("actual_share"))
 
 
 def shares(mixed: DataFrame, targets: DataFrame, source: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SALTS = 64
+PER_TASK = 500_000  #: items of one size that are ordered in one task
 
 
 class Plan:
@@ -137,7 +138,8 @@ def containers(sizes: DataFrame, key: str, size: str, capacity: int) -> DataFram
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("k", "part_no", "size_from", "size")), pa.array(found, pa.int64())], names=["k", "part_no", "size_from", "size", "container_id"])
 
     kind = sizes.schema[key].dataType.simpleString()
-    salt = F.pmod(F.xxhash64("k"), F.lit(SALTS)).alias("salt")
+    salts = max(SALTS, -(-max((r["n"] for r in counted), default=0) // PER_TASK))
+    salt = F.pmod(F.xxhash64("k"), F.lit(salts)).alias("salt")
     open_ = rest.where("size > 0").select("k", "size", "full", salt)
     offset = Window.partitionBy("size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     before = open_.groupBy("size", "salt").agg(F.count(F.lit(1)).alias("n")).select("size", "salt", F.coalesce(F.sum("n").over(offset), F.lit(0)).alias("before"))

@@ -38,6 +38,13 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return marked.where(F.col("mark").isNotNull()).select(F.col("ngram").alias("term"), "mark")
 
 
+@query
+def p5_ngrams(spark: SparkSession, sf: str) -> DataFrame:
+    """Occurrences, posts and mark of every run of one to three terms of the first deliveries."""
+    words = first_posts(spark, sf).select(terms(F.col("text")).alias("terms"))
+    return ngrams.mark_extremes(materialize(ngrams.ngram_counts(words, "terms", 3)), min_df=3, max_share=1 / 20)
+
+
 def listed_posts(spark: SparkSession, sf: str, posts: DataFrame) -> DataFrame:
     """First deliveries whose id stands in the id list."""
     ids = table(spark, sf, "id_list").select(F.expr("try_cast(trim(tweet_id) AS bigint)").alias("id")).where("id IS NOT NULL").distinct()
@@ -47,7 +54,8 @@ def listed_posts(spark: SparkSession, sf: str, posts: DataFrame) -> DataFrame:
 def listed_scores(spark: SparkSession, sf: str, **how) -> DataFrame:
     posts = first_posts(spark, sf).persist()
     counts = term_counts(posts)
-    chosen = listed_posts(spark, sf, posts).select("id", terms(F.col("text")).alias("terms"))
+    chosen = materialize(listed_posts(spark, sf, posts).select("id", terms(F.col("text")).alias("terms")))
+    posts.unpersist()
     return relevance.score_terms(chosen, counts, "id", "terms", **how)
 
 
@@ -62,15 +70,32 @@ def p4_relevance(spark: SparkSession, sf: str) -> DataFrame:
     return listed_scores(spark, sf)
 
 
-@query
-def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+def near_posts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     # Only texts of 20 terms need to travel; a first delivery with fewer arrives without text and falls out.
     text = F.when(F.size(terms(F.col("text"))) >= 20, F.col("text"))
     rows = table(spark, sf, "hurricane_harvey").select("id", "delivery_id", text.alias("text"))
     words = first_deliveries(rows, ["text"]).select("id", terms(F.col("text")).alias("terms")).where(F.size("terms") >= 20)
-    sets = words.select("id", shingle_set(F.col("terms"), 2, bits=32).alias("tokens"))
-    links, whole, members = neardup.near_duplicates(sets, "id", "tokens", threshold=0.5, bands=120, rows=4)
-    return neardup.all_pairs(links, whole, members).select(F.col("a").alias("id_a"), F.col("b").alias("id_b"))
+    sets = words.select("id", shingle_set(F.col("terms"), 2).alias("tokens"))
+    return neardup.near_duplicates(sets, "id", "tokens", threshold=0.5, bands=120, rows=4)
+
+
+@query
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    links, whole, members = near_posts(spark, sf)
+    found = materialize(neardup.all_pairs(links, whole, members).select(F.col("a").alias("id_a"), F.col("b").alias("id_b")))
+    whole.unpersist()
+    members.unpersist()
+    return found
+
+
+@query
+def p2_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """The group of each post with at least 20 terms: one number for all that are linked by small changes."""
+    links, whole, members = near_posts(spark, sf)
+    found = materialize(neardup.components(links, members).select(F.col("key").alias("id"), F.col("group").alias("group_id")))
+    whole.unpersist()
+    members.unpersist()
+    return found
 
 
 @query
@@ -105,28 +130,35 @@ def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
     return packing.containers(sizes, "doc_id", "n_tokens", limits(spark, sf)["container_capacity"])
 
 
-def mixed_documents(spark: SparkSession, sf: str) -> DataFrame:
-    documents = table(spark, sf, "documents")
-    centers = mixing.fit_topics(documents, "doc_id", "text")
-    sizes = materialize(mixing.sized(documents, "doc_id", "text", ["source", "lang"], centers))
-    return mixing.mix(sizes, table(spark, sf, "mix_targets"), "doc_id", "source", "lang")
+def mixed_documents(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    sizes = materialize(mixing.sized(table(spark, sf, "documents"), "doc_id", "text", ["source", "lang"]))
+    named = materialize(mixing.assigned(sizes, mixing.fit_topics(sizes, "doc_id")))
+    return mixing.mix(named, table(spark, sf, "mix_targets"), "doc_id", "source", "lang"), named
 
 
 @query
 def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
-    return mixed_documents(spark, sf)
+    return mixed_documents(spark, sf)[0]
 
 
 @query
 def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
-    return mixing.shares(mixed_documents(spark, sf), table(spark, sf, "mix_targets"), "source")
+    return mixing.shares(mixed_documents(spark, sf)[0], table(spark, sf, "mix_targets"), "source")
+
+
+@query
+def p9_marginals(spark: SparkSession, sf: str) -> DataFrame:
+    mixed, named = mixed_documents(spark, sf)
+    return mixing.marginals(materialize(mixed), named, table(spark, sf, "mix_targets"), "source", "lang")
 
 
 @query
 def p7_varied(spark: SparkSession, sf: str) -> DataFrame:
     posts = first_posts(spark, sf).select("id", "text", token_set(terms(F.col("text"))).alias("tokens")).persist()
     chosen = diverse.varied_subset(posts, "id", "tokens", 100)
-    return chosen.join(posts.select("id", "text"), "id")
+    found = materialize(chosen.join(posts.select("id", "text"), "id"))
+    posts.unpersist()
+    return found
 
 
 def cut_texts(spark: SparkSession, sf: str) -> DataFrame:

@@ -11,13 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stormglass.runtime import materialize
+
 from .classes import classes
 from .neardup import _constants, _flat
 
 SLOTS = 1 << 20  #: slots of the frequency table, whatever the number of tokens: at most 8 MB
-BITS = 1 << 24  #: bits of the signature filter: 2 MB
-FILTER_UP_TO = 1 << 19  #: signatures of the smaller side up to which the filter is built
+BITS = (24, 28)  #: the signature filter has 2 MB at least and 32 MB at most
 LEVELS = (1, 2, 3)
+COMBINATIONS = 20_000  #: a set sends so many combinations at a level above 1, or does not use the level
 
 
 def _frequencies(sets: list[DataFrame]) -> np.ndarray:
@@ -31,17 +33,33 @@ def _frequencies(sets: list[DataFrame]) -> np.ndarray:
     return table
 
 
-def _signatures(threshold: float, table, n_sets: int, levels, adaptive: bool, filters):
+def _level_bounds(threshold: float, levels):
+    """A function of sizes: the highest level whose combinations a set of that size sends. It falls with the size."""
+    ends = []
+    for level in levels[1:]:
+        n = level
+        while math.comb(n - math.ceil(threshold * n - 1e-9) + level, level) <= COMBINATIONS:
+            n += 1
+        ends.append(n)
+    ends = np.minimum.accumulate(np.array(ends, np.int64))
+    return lambda size: levels[0] + sum((size < end).astype(np.int64) for end in ends)
+
+
+def _signatures(threshold: float, table, n_sets: int, levels, adaptive: bool, filters, bits: int = 24):
     """Sets in; ``sig, cls, size`` out: every combination of ``level`` tokens of the set's prefix for that level.
 
     Two sets of similarity t share at least ceil(t * n) tokens, n the size of
     either; in a common order of tokens they then share at least ``level`` within
-    their first n - ceil(t * n) + level tokens.
+    their first n - ceil(t * n) + level tokens. Long sets would send too many
+    combinations at the higher levels: a set chooses a level only if the largest
+    set it can pair with sends it, and sends those its own size allows; level 1,
+    whose combinations are as many as tokens, is open to all.
     """
+    bound = _level_bounds(threshold, levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq = table.value
-        allowed = filters.value if filters is not None else None
+        allowed, shift = (filters.value if filters is not None else None), np.uint64(64 - bits)
         mix, _ = _constants(max(LEVELS) + 1, 11)
         for batch in batches:
             if not batch.num_rows:
@@ -55,18 +73,22 @@ def _signatures(threshold: float, table, n_sets: int, levels, adaptive: bool, fi
             need = np.ceil(threshold * size - 1e-9).astype(np.int64)
             chosen = np.full(len(size), levels[0])
             if adaptive:
-                cost = np.stack([_cost(weight, offsets, size, need, k, n_sets) for k in levels])
+                most = bound(np.ceil(size / threshold + 1e-9).astype(np.int64))
+                cost = np.stack([np.where(most >= k, _cost(weight, offsets, size, need, k, n_sets, most >= k), np.inf) for k in levels])
                 chosen = np.array(levels)[cost.argmin(axis=0)]
+            else:
+                most = bound(size)
             sigs, owners = [], []
             for level in levels:
                 prefix = np.minimum(size, size - need + level)
-                use = (need >= level) & (chosen == level) if adaptive else size >= level
+                use = (chosen == level) & (need >= level) if adaptive else (size >= level) & (most >= level)
                 for p in np.unique(prefix[use]):
                     own = np.flatnonzero(use & (prefix == p))
                     block = values[offsets[own][:, None] + np.arange(p)]
-                    for i in range(0, len(own), max(1, 2_000_000 // math.comb(int(p), level))):
-                        part = block[i : i + max(1, 2_000_000 // math.comb(int(p), level))]
-                        combos = np.array(list(combinations(range(int(p)), level)))
+                    combos = np.array(list(combinations(range(int(p)), level)))
+                    at_once = max(1, 2_000_000 // len(combos))
+                    for i in range(0, len(own), at_once):
+                        part = block[i : i + at_once]
                         with np.errstate(over="ignore"):
                             sig = np.full((len(part), len(combos)), level, np.uint64) * mix[level]
                             for j in range(level):
@@ -75,7 +97,7 @@ def _signatures(threshold: float, table, n_sets: int, levels, adaptive: bool, fi
                         owner = np.repeat(cls[own[i : i + len(part)]], len(combos))
                         sig = sig.ravel()
                         if allowed is not None:
-                            at = (sig >> np.uint64(40)).astype(np.int64)
+                            at = (sig >> shift).astype(np.int64)
                             keep = allowed[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
                             sig, owner = sig[keep], owner[keep]
                         sigs.append(sig)
@@ -86,7 +108,23 @@ def _signatures(threshold: float, table, n_sets: int, levels, adaptive: bool, fi
     return run
 
 
-def _cost(weight: np.ndarray, offsets: np.ndarray, size: np.ndarray, need: np.ndarray, level: int, n_sets: int) -> np.ndarray:
+def _filter(signatures: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of the signatures' leading ``bits``. Its blocks of 8 KB are filled by the tasks, so only the bitmap reaches the driver."""
+
+    def fill(key: tuple, group: pa.Table) -> pa.Table:
+        block = np.zeros(1 << 16, np.uint8)
+        block[group.column("bit").to_numpy()] = 1
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "bytes": pa.array([np.packbits(block, bitorder="little").tobytes()], pa.binary())})
+
+    at = F.shiftrightunsigned("sig", 64 - bits)
+    rows = signatures.select(F.shiftright(at, 16).cast("int").alias("block"), at.bitwiseAND(F.lit(0xFFFF)).cast("int").alias("bit")).distinct()
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for r in rows.groupBy("block").applyInArrow(fill, "block int, bytes binary").collect():
+        out[r["block"] << 13 : (r["block"] + 1) << 13] = np.frombuffer(r["bytes"], np.uint8)
+    return out
+
+
+def _cost(weight: np.ndarray, offsets: np.ndarray, size: np.ndarray, need: np.ndarray, level: int, n_sets: int, use: np.ndarray) -> np.ndarray:
     """Expected candidates of each set at a level, plus its signatures.
 
     The sum over all combinations of ``level`` shares is the elementary symmetric
@@ -97,7 +135,7 @@ def _cost(weight: np.ndarray, offsets: np.ndarray, size: np.ndarray, need: np.nd
     share = weight / max(1, n_sets)
     prefix = np.minimum(size, size - need + level)
     for p in np.unique(prefix):
-        own = np.flatnonzero((prefix == p) & (need >= level))
+        own = np.flatnonzero((prefix == p) & (need >= level) & use)
         if not len(own):
             continue
         block = share[offsets[own][:, None] + np.arange(p)]
@@ -116,9 +154,10 @@ def similar_sets(left: DataFrame, right: DataFrame, threshold: float) -> DataFra
 
     The sets of ``left`` choose the length of their prefix, that is how many
     shared tokens a pair must have in it, by the candidates they would have;
-    those of ``right`` send the combinations for every length. While ``left``
-    has few signatures a filter of 2 MB drops those of ``right`` that none of
-    them equals. Let ``left`` be the smaller table.
+    those of ``right`` send the combinations for every length a set of ``left``
+    may have chosen. A filter sized by the signatures of ``left`` (2 to 32 MB)
+    drops those of ``right`` that none of them equals. Let ``left`` be the
+    smaller table.
     """
     spark = left.sparkSession
     one, two = left.where(F.size("tokens") > 0).select("cls", "tokens"), right.where(F.size("tokens") > 0).select("cls", "tokens")
@@ -128,14 +167,12 @@ def similar_sets(left: DataFrame, right: DataFrame, threshold: float) -> DataFra
     freq = spark.sparkContext.broadcast(table)
     schema = "sig bigint, cls bigint"
     a = one.mapInArrow(_signatures(threshold, freq, n_sets, LEVELS, True, None), schema)
-    filters, levels = None, LEVELS
+    filters, bits = None, BITS[0]
     if not same:
-        a = a.persist()
-        if a.count() <= FILTER_UP_TO:
-            bits = np.zeros(BITS, np.uint8)
-            bits[a.select(F.shiftrightunsigned("sig", 40).alias("at")).distinct().toArrow().column(0).to_numpy()] = 1
-            filters = spark.sparkContext.broadcast(np.packbits(bits, bitorder="little"))
-    b = two.mapInArrow(_signatures(threshold, freq, n_sets, levels, False, filters), schema)
+        a = materialize(a)
+        bits = min(BITS[1], max(BITS[0], (32 * a.count()).bit_length()))
+        filters = spark.sparkContext.broadcast(_filter(a, bits))
+    b = two.mapInArrow(_signatures(threshold, freq, n_sets, LEVELS, False, filters, bits), schema)
     met = a.withColumnRenamed("cls", "x").join(b.withColumnRenamed("cls", "y"), "sig")
     if same:
         met = met.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
@@ -158,6 +195,9 @@ def join_similar(left: DataFrame, right: DataFrame, left_key: str, right_key: st
     lw, lm = classes(left.select(F.col(left_key).alias("k"), F.col(tokens).alias("tokens")).where(F.size("tokens") > 0), "k", "tokens")
     rw, rm = classes(right.select(F.col(right_key).alias("k"), F.col(tokens).alias("tokens")).where(F.size("tokens") > 0), "k", "tokens")
     near = similar_sets(lw, rw, threshold)
-    a = near.join(lm.withColumnsRenamed({"cls": "cls_a", "key": "_l"}), "cls_a")
-    b = a.join(rm.withColumnsRenamed({"cls": "cls_b", "key": "_r"}), "cls_b")
-    return b.select(F.col("_l").alias(left_key), F.col("_r").alias(right_key), "similarity")
+    a = near.join(lm.select(F.col("cls").alias("cls_a"), F.col("key").alias("_l")), "cls_a")
+    b = a.join(rm.select(F.col("cls").alias("cls_b"), F.col("key").alias("_r")), "cls_b")
+    out = materialize(b.select(F.col("_l").alias(left_key), F.col("_r").alias(right_key), "similarity"))
+    for kept in (lw, lm, rw, rm):
+        kept.unpersist()
+    return out

@@ -28,6 +28,12 @@ SELECT id, term, tf, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * (1.2 +
 FROM tf JOIN df USING (term) JOIN listed USING (id), n""",
     "p5_found": f"""WITH {COUNTS}
 SELECT term, CASE WHEN df < 3 THEN 'rare' ELSE 'common' END AS mark FROM df, n WHERE df < 3 OR df > n / 20.0""",
+    "p5_ngrams": f"""WITH {COUNTS}, g AS (
+  SELECT id, unnest(w) AS ngram FROM first_posts UNION ALL
+  SELECT id, unnest(list_transform(list_zip(w[:-2], w[2:]), lambda p: p[1] || ' ' || p[2])) FROM first_posts WHERE len(w) >= 2 UNION ALL
+  SELECT id, unnest(list_transform(list_zip(w[:-3], w[2:-2], w[3:]), lambda p: p[1] || ' ' || p[2] || ' ' || p[3])) FROM first_posts WHERE len(w) >= 3),
+c AS (SELECT ngram, count(*) AS cf, count(DISTINCT id) AS df FROM g GROUP BY ngram)
+SELECT ngram, cf, c.df, CASE WHEN c.df < 3 THEN 'rare' WHEN c.df > n / 20.0 THEN 'common' END AS mark FROM c, n""",
     "p6_found": f"""WITH {FIRST},
 l AS (SELECT summary_id, list_distinct({TERMS.format("text")}) AS w FROM summaries),
 r AS (SELECT id, list_distinct(w) AS w FROM first_posts),

@@ -26,17 +26,22 @@ from stormglass.runtime import materialize
 MARKS = ("…", "...", "[...]", "[…]", "(...)", "(…)", "(more)", "[more]", "(cont)", "(cont.)", "[cut]")
 NEAR = 15  #: a cut moved back to a word end loses fewer characters than this
 RULES_UP_TO = 200_000  #: learned rules up to which their table is broadcast
+LONGEST_WORD = 64  #: what is longer is no word: neither known nor torn
 FLUSH = 300_000
 CLOSERS = {"”": "“", ")": "(", "]": "[", "}": "{", "»": "«", "」": "「", "』": "『"}
 STOPS = ".!?。！？…”»」』)]"
 
 LINK = re.compile(r"https?://[^ \t\r\n]*")
 TAIL = re.compile(r"\s?(" + "|".join(map(re.escape, sorted(MARKS, key=len, reverse=True))) + r")(\s+https?://\S+)?$")
-STRUCTURE = re.compile("[" + re.escape("".join([*CLOSERS, *CLOSERS.values()])) + "]")
+#: Quotes and brackets, and markup: code fences and ticks, bold, tags and comments, also those that do not end.
+STRUCTURE = re.compile(r"```|`|\*\*|<!--|-->|</?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]*)?/?>|<[/A-Za-z][^<>]*$|[\"" + re.escape("".join([*CLOSERS, *CLOSERS.values()])) + "]")
+#: Tags that enclose nothing.
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: Words with digits as 0, hashtags, single characters of scripts without blanks, single signs; a link or line end is the sign |.
 TOKEN = re.compile(r"#\w+|[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]|(?:(?![\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff_])\w)+|[^\w\s]|_")
 DIGITS, LINES = re.compile(r"\d+"), re.compile(r"[\r\n]+")
-BROKEN = re.compile(r"(?:\ufffd|&[#a-z0-9]{0,6}|\\u?[0-9a-fA-F]{0,3})$")
+BROKEN = re.compile(r"(?:\ufffd|&(?:#x?[0-9a-fA-F]{0,7}|[a-z0-9]{0,6})|\\u?[0-9a-fA-F]{0,3}|\\u[dD][89abAB][0-9a-fA-F]{2})$")
+ESCAPED = re.compile(r"((?:%[0-9A-Fa-f]{2})+)(%[0-9A-Fa-f]?)?$")
 LAST_LINK = re.compile(r"https?:\S*$")
 LAST_TAG = re.compile(r"#\w+$")
 
@@ -46,25 +51,59 @@ def tokens(text: str) -> list[str]:
     return TOKEN.findall(DIGITS.sub("0", text.lower()))
 
 
-def unclosed(text: str) -> bool:
-    """Whether a quote or bracket is open at the end, by a stack automaton.
+def unclosed(text: str) -> str:
+    """What is open at the end, by a stack automaton: "markup" for a tag, comment,
+    code or bold mark, "quote" for a quote or bracket only, "" for nothing.
 
-    A closer without its opener belongs to a smiley or a list and changes nothing.
+    A closer without its opener belongs to a smiley or a list and changes
+    nothing; a straight quote after a digit, with none open, is a unit. Within
+    code only its own mark counts.
     """
     stack: list[str] = []
-    for c in STRUCTURE.findall(text):
-        if c not in CLOSERS:
+    for m in STRUCTURE.finditer(text):
+        c = m[0]
+        if stack and stack[-1] in ("`", "```", "<!--"):
+            if c == {"<!--": "-->"}.get(stack[-1], stack[-1]):
+                stack.pop()
+        elif c in ("`", "```", "**", '"'):
+            if c in stack:
+                del stack[stack.index(c) :]
+            elif c != '"' or not text[m.start() - 1 : m.start()].isdigit():
+                stack.append(c)
+        elif c in CLOSERS:
+            if stack and stack[-1] == CLOSERS[c]:
+                stack.pop()
+        elif c[0] == "<":
+            name = c.strip("</>").split(None, 1)[0].lower() if c.strip("</>") else ""
+            if not c.endswith(">") or c == "<!--":
+                stack.append(c if c == "<!--" else "<")
+            elif c[1] == "/":
+                if "<" + name in stack:
+                    del stack[stack.index("<" + name) :]
+            elif not c.endswith("/>") and name not in VOID:
+                stack.append("<" + name)
+        elif c != "-->":
             stack.append(c)
-        elif stack and stack[-1] == CLOSERS[c]:
-            stack.pop()
-    return bool(stack)
+    return "" if not stack else "markup" if any(c[0] in "<`*" for c in stack) else "quote"
+
+
+def torn_escape(text: str) -> bool:
+    """Whether the text ends within a percent-encoded character."""
+    m = ESCAPED.search(text)
+    if not m:
+        return False
+    try:
+        bytes.fromhex(m[1].replace("%", "")).decode()
+    except UnicodeDecodeError as e:
+        return e.reason == "unexpected end of data"
+    return bool(m[2])
 
 
 def tag_at_end(text: str) -> bool:
     return "#" in text and bool(LAST_TAG.search(text))
 
 
-FEATURES = "key {kind}, source string, copy boolean, chars int, octets int, raw_chars int, raw_octets int, wide boolean, form string, kept int, blank boolean, unclosed boolean, lone boolean, broken boolean, stopped boolean, tag boolean, link int, before string, last string"
+FEATURES = "key {kind}, source string, copy boolean, chars int, octets int, raw_chars int, raw_octets int, wide boolean, form string, kept int, blank boolean, unclosed boolean, markup boolean, lone boolean, broken boolean, stopped boolean, tag boolean, link int, before string, last string"
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,21 +116,22 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if ("…" in r or "..." in r or "]" in r or ")" in r) and (m := TAIL.search(r)):
                 form, kept = m[1] + ("+" if m[2] else ""), m.start()
             octets, raw = len(r.replace("\ufffd", "?").encode()), len(text.replace("\ufffd", "?").encode())
-            open_ = bool(STRUCTURE.search(r)) and unclosed(r)
+            state = unclosed(r) if STRUCTURE.search(r) else ""
+            open_ = bool(state)
             # Opened by the first character and never closed: not the work of reordered words.
             lone = open_ and STRUCTURE.findall(r) == [r[0]] and not tag_at_end(r)
             link = LAST_LINK.search(r) if "http" in r else None
             end = r[-1:]
             stop = not open_ and bool(end) and (end in STOPS or end == "\ufe0f" or unicodedata.category(end) in ("So", "Sk"))
             tail = tokens(" ".join(r.rsplit(None, 2)[-2:])) if end and not stop and not link else []
-            last = tail[-1] if tail and (tail[-1][-1].isalnum() or tail[-1][0] == "#") else None
+            last = tail[-1] if tail and (tail[-1][-1].isalnum() or tail[-1][0] == "#") and len(tail[-1]) <= LONGEST_WORD else None
             before = tail[-2] if last and len(tail) > 1 else None
             if before == "@":  # names are no words
                 last = before = None
             tag = tag_at_end(r)
-            rows.append((len(r), octets, len(text), raw, octets > len(r), form, kept, len(text) > len(r), open_, lone, bool(BROKEN.search(r)), stop, tag, len(link[0]) if link else 0, before, last))
+            rows.append((len(r), octets, len(text), raw, octets > len(r), form, kept, len(text) > len(r), open_, state == "markup", lone, bool(BROKEN.search(r)) or torn_escape(r), stop, tag, len(link[0]) if link else 0, before, last))
         names = [x.split()[0] for x in FEATURES.split(", ")]
-        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.int32(), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int32(), pa.string(), pa.string()]
+        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.int32(), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int32(), pa.string(), pa.string()]
         if rows:
             out = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *out], names=names)
@@ -119,29 +159,32 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _baseline(group: pd.DataFrame) -> pd.DataFrame:
-    """Rules of one source, from its lengths: where its field ends and how it cuts there."""
-    source, n = group["source"].iloc[0], group["n"].sum()
+    """Rules of one source, from its counts of lengths: where its field ends and how it cuts there."""
+    source = group["source"].iloc[0]
+    of = {c: g.groupby("at")["n"].sum().sort_index() for c, g in group.groupby("count")}
+    n, none = of["chars"].sum(), pd.Series(dtype="int64")
     out: list[tuple] = []
 
-    def robust_max(column: str) -> tuple[int, int]:
-        per = group.groupby(column)["n"].sum().sort_index()
+    def robust_max(per: pd.Series) -> tuple[int, int]:
         beyond = per[::-1].cumsum()[::-1]
-        top = int(per.index[beyond > max(1, n * 0.0005)].max()) if (beyond > max(1, n * 0.0005)).any() else int(per.index.max())
+        most = beyond > max(1, n * 0.0005)
+        top = int(per.index[most].max()) if most.any() else int(per.index.max())
         return top, int(per[(per.index > top - NEAR) & (per.index <= top)].sum())
 
-    chars, near_chars = robust_max("chars")
-    octets, near_octets = robust_max("octets")
-    by_octets = octets <= chars + 1 and group.loc[group["wide"] & (group["octets"] > octets - NEAR), "n"].sum() > 0
+    chars, near_chars = robust_max(of["chars"])
+    octets, near_octets = robust_max(of["octets"])
+    wide = of.get("wide", none)
+    by_octets = octets <= chars + 1 and wide[wide.index > octets - NEAR].sum() > 0
     limit, near, unit = (octets, near_octets, "octets") if by_octets else (chars, near_chars, "chars")
     if near >= max(20, 0.005 * n):
-        plain = group[group["form"] == ""].groupby(unit)["n"].sum()
+        plain = of.get(f"plain_{unit}", none)
         before = sum(int(plain.get(limit - i, 0)) for i in range(4, 14)) / 10
         marked = 0
-        for form, rows in group[group["form"] != ""].groupby("form"):
-            kept = rows.groupby("kept")["n"].sum()
+        for form, rows in group[group["count"] == "kept"].groupby("form"):
+            kept = rows.groupby("at")["n"].sum().sort_index()
             top = int(kept.index[kept[::-1].cumsum()[::-1] > max(1, kept.sum() * 0.001)].max()) if kept.sum() > 1 else 0
-            close = rows[(rows["kept"] > top - NEAR) & (rows["kept"] <= top)]
-            if close["n"].sum() >= max(5, 0.001 * n) and close["chars"].max() >= 0.85 * limit:
+            close = rows[(rows["at"] > top - NEAR) & (rows["at"] <= top)]
+            if close["n"].sum() >= max(5, 0.001 * n) and close["longest"].max() >= 0.85 * limit:
                 marked += int(close["n"].sum())
                 # A mark seen hardly anywhere else is no author's: a longer word may have been dropped before it.
                 low = top - NEAR * (2 if close["n"].sum() >= 0.9 * kept.sum() else 1) + 1
@@ -153,9 +196,15 @@ def _baseline(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def _rules(rows: DataFrame) -> DataFrame:
-    """``source, unit, form, at``: what lengths are cuts; under the null source those of any source."""
-    lengths = rows.where("chars > 0 AND source IS NOT NULL").groupBy("source", "form", "kept", "chars", "octets", "wide").agg(F.count(F.lit(1)).alias("n"))
-    own = materialize(lengths.groupBy("source").applyInPandas(_baseline, "source string, unit string, form string, at int"))
+    """``source, unit, form, at``: what lengths are cuts; under the null source those of any source.
+
+    A source's counts, at most a few per length, are what one task gets.
+    """
+    plain = F.col("form") == ""
+    when = {"chars": ("chars", None), "octets": ("octets", None), "wide": ("octets", F.col("wide")), "plain_chars": ("chars", plain), "plain_octets": ("octets", plain), "kept": ("kept", ~plain)}
+    each = [F.struct(F.lit(c).alias("count"), (F.col(at) if cond is None else F.when(cond, F.col(at))).alias("at"), F.when(F.lit(c == "kept"), F.col("form")).otherwise("").alias("form")) for c, (at, cond) in when.items()]
+    counts = rows.where("chars > 0 AND source IS NOT NULL").select("source", "chars", F.inline(F.array(*each))).where("at IS NOT NULL").groupBy("source", "count", "form", "at").agg(F.count(F.lit(1)).alias("n"), F.max("chars").alias("longest"))
+    own = materialize(counts.groupBy("source").applyInPandas(_baseline, "source string, unit string, form string, at int"))
     return own.unionByName(own.select(F.lit(None).cast("string").alias("source"), "unit", "form", "at").distinct())
 
 
@@ -181,9 +230,9 @@ def evidence(df: DataFrame, key: str, ident: str, source: str, text: str, min_se
     a text that goes on where this ends), limit (as long as the source's field
     and not complete), mark (a mark where the source's cuts have it), broken (a
     torn character, escape or link at the end), torn (the last word is unknown
-    and begins a known one), open (an unclosed quote or bracket, or a last word
-    that ends no sentence, where the source is known to lose ends or where it follows
-    the word before it as usual). A null
+    and begins a known one), open (unclosed markup; an unclosed quote or bracket, or
+    a last word that ends no sentence, where the source is known to lose ends or where
+    it follows the word before it as usual). A null
     ``ident`` has no copies; a null ``source`` is held against the rules of all
     sources; null and empty texts are complete. Fields of which no source of the
     table shows a limit give no limit cuts. Trailing blanks do not count.
@@ -202,12 +251,13 @@ def evidence(df: DataFrame, key: str, ident: str, source: str, text: str, min_se
     copy = F.col("goes_on")
     beside = rows.withColumn("begin", r).join(short, ["ident", "begin"], "left")
     tails = beside.select("key", "source", "text", F.coalesce(copy, F.lit(False)).alias("copy")).mapInArrow(_describe, FEATURES.format(kind=kind)).persist(StorageLevel.MEMORY_AND_DISK)
+    described = tails
     rules = _rules(tails)
 
     words = _words(pairs)
     links = pairs.where("a = '|link'").orderBy(F.desc("n"), "b").first()
     link = int(links["b"]) if links else 0
-    known = words.where(F.col("seen") >= min_seen)
+    known = words.where((F.col("seen") >= min_seen) & (F.length("word") <= LONGEST_WORD))
     begun = known.where(F.length("word") > 1).select(F.explode(F.expr("transform(sequence(1, length(word) - 1), i -> substr(word, 1, i))")).alias("word"), "seen")
     begun = begun.unionAll(df.sparkSession.createDataFrame([(x, 10**6) for x in ("h", "ht", "htt", "http", "https")], "word string, seen bigint"))
     # The words that stand last are far fewer than the rows; only they are judged.
@@ -250,9 +300,12 @@ def evidence(df: DataFrame, key: str, ident: str, source: str, text: str, min_se
         .when(yes("marked"), "mark")
         .when(any_text & plain & broken, "broken")
         .when(plain & yes("torn"), "torn")
+        .when(any_text & plain & F.col("markup"), "open")
         .when(plain & ((yes("never") & (yes("usual") | yes("lossy"))) | (F.col("unclosed") & yes("lossy")) | (F.col("lone") & F.col("last").isNotNull())), "open")
     )
-    return tails.select(F.col("key").alias(key), F.col("source"), reason.isNotNull().alias("cut"), reason.alias("reason"))
+    out = materialize(tails.select(F.col("key").alias(key), F.col("source"), reason.isNotNull().alias("cut"), reason.alias("reason")))
+    described.unpersist()
+    return out
 
 
 def truncation_report(found: DataFrame) -> DataFrame:
