@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Characters that count as quotes.
@@ -117,6 +117,43 @@ def strip_tags(sentence: Column) -> Column:
     return F.concat(F.trim(_spark(sentence, TAGS)), F.lit(" ."))
 
 
+#: The fields of a cluster's line, their separators, and the factor of its weights.
+CLUSTER_ID, NORM_SUM, WEIGHT_SUM, SUM_TIME, SUM_SQUARED_TIME, N_POSTS = 0, 1, 2, 3, 4, 5
+FIELD, VALUE, AMPLIFIED = "\t", ":", 1000
+
+
+def decode_vector(df: DataFrame, vector: str, *keep: str) -> DataFrame:
+    """``*keep, term, value`` of vectors written as term and value in turn, with blanks between. Null and empty give no rows."""
+    parts = F.split(vector, " ")
+    at = F.sequence(F.lit(0), F.floor(F.size(parts) / 2).cast("int") - 1)
+    pairs = F.transform(at, lambda i: F.struct(F.get(parts, 2 * i).alias("term"), F.get(parts, 2 * i + 1).cast("double").alias("value")))
+    return df.where(F.size(parts) > 1).select(*keep, F.inline(pairs))
+
+
+def encode_clusters(sums: DataFrame, times: DataFrame) -> DataFrame:
+    """``cluster, line``: clusters' sums (``cluster, term, weight_sum, norm_sum``) and times (``cluster, n, sum_t, sum_t2``) as
+    lines of marked fields, weights amplified with twelve decimals. A term with the separator in it is not allowed."""
+
+    def fields(mark: int, column: str):
+        rows = F.array_sort(F.collect_list(F.struct("term", F.col(column).cast("double").alias("x"))))
+        return F.array_join(F.transform(rows, lambda r: F.concat(F.lit(f"{mark}{VALUE}"), r["term"], F.lit(VALUE), F.format_string("%.12f", r["x"] * AMPLIFIED))), FIELD)
+
+    both = sums.groupBy("cluster").agg(fields(WEIGHT_SUM, "weight_sum").alias("a"), fields(NORM_SUM, "norm_sum").alias("b")).join(times, "cluster")
+    head = [F.concat(F.lit(f"{mark}{VALUE}"), F.col(c).cast("string")) for mark, c in ((CLUSTER_ID, "cluster"), (N_POSTS, "n"), (SUM_TIME, "sum_t"), (SUM_SQUARED_TIME, "sum_t2"))]
+    return both.select("cluster", F.concat_ws(FIELD, *head, "a", "b").alias("line"))
+
+
+def decode_clusters(df: DataFrame, line: str) -> DataFrame:
+    """``cluster, n, sum_t, sum_t2, term, weight_sum, norm_sum`` of lines by :func:`encode_clusters`."""
+    parts = F.transform(F.split(line, FIELD), lambda f: F.split(f, VALUE))
+    of = lambda mark: F.filter(parts, lambda p: p[0] == str(mark))
+    one = lambda mark: F.get(F.get(of(mark), F.lit(0)), F.lit(1))
+    head = df.select(one(CLUSTER_ID).alias("cluster"), one(N_POSTS).cast("bigint").alias("n"), one(SUM_TIME).cast("bigint").alias("sum_t"), one(SUM_SQUARED_TIME).cast("bigint").alias("sum_t2"), F.filter(parts, lambda p: p[0].isin(str(NORM_SUM), str(WEIGHT_SUM))).alias("p"))
+    each = head.select("cluster", "n", "sum_t", "sum_t2", F.explode("p").alias("p")).select("cluster", "n", "sum_t", "sum_t2", F.col("p")[0].alias("mark"), F.col("p")[1].alias("term"), (F.col("p")[2].cast("double") / AMPLIFIED).alias("x"))
+    value = lambda mark: F.max(F.when(F.col("mark") == str(mark), F.col("x")))
+    return each.groupBy("cluster", "n", "sum_t", "sum_t2", "term").agg(value(WEIGHT_SUM).alias("weight_sum"), value(NORM_SUM).alias("norm_sum"))
+
+
 REFORMAT = [(r"\s+", " "), (r"^RT @[^ ]* ?", "")]
 
 

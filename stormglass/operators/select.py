@@ -7,7 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import graph
@@ -62,15 +62,43 @@ def jaccard(a: frozenset, b: frozenset) -> float:
     return len(a & b) / union if union else 0.0
 
 
-def choose_posts(topics: list[str], rank: dict[str, float], terms: dict[str, frozenset], per_topic: int = PER_TOPIC, overlap: float = OVERLAP, score: str = "new") -> list[tuple[str, float]]:
-    """Posts for the topics in turn: a post belongs to the first topic it holds;
-    there the best come first, and one too similar to any chosen is left out.
+#: How posts are chosen for the subtopics. ``measure``: the sum of ranks of a post's terms without topic terms ("new") or
+#: of all ("all"), or its similarity to the topic's other posts ("alike"). ``apart``: a post is held against those chosen
+#: for all topics, for its own, or none. ``once``: a post counts for its first topic only.
+SELECTORS = {
+    "new": {"measure": "new", "apart": "all", "once": True},
+    "all": {"measure": "all", "apart": "all", "once": True},
+    "per_topic": {"measure": "new", "apart": "topic", "once": False},
+    "without_redundancy": {"measure": "new", "apart": "topic", "once": True},
+    "score_only": {"measure": "new", "apart": "none", "once": False},
+    "most_alike": {"measure": "alike", "apart": "none", "once": False},
+}
 
-    ``score``: "new" leaves the topic terms out of the sum of ranks, "all" does not.
+
+def alike(own: list[str], terms: dict[str, frozenset]) -> dict[str, float]:
+    """The sum of each post's similarities to the others, from the terms they share."""
+    by: dict[str, list[str]] = {}
+    for p in own:
+        for t in terms[p]:
+            by.setdefault(t, []).append(p)
+    out = {}
+    for p in own:
+        shared = Counter(q for t in terms[p] for q in by[t] if q != p)
+        out[p] = sum(n / (len(terms[p]) + len(terms[q]) - n) for q, n in sorted(shared.items()))
+    return out
+
+
+def choose_posts(topics: list[str], rank: dict[str, float], terms: dict[str, frozenset], per_topic: int = PER_TOPIC, overlap: float = OVERLAP, score: str = "new", representative: bool = False) -> list[tuple[str, float]]:
+    """Posts for the topics in turn, the best first; one too similar to a chosen one is left out.
+
+    ``score`` names one of :data:`SELECTORS`. With ``representative`` only posts
+    count of which no term has a higher rank than the topic's. A post chosen
+    for several topics is listed once, at the first.
     """
-    chosen: list[tuple[str, float]] = []
+    how = SELECTORS[score]
+    chosen: dict[str, float] = {}
     taken: set[str] = set()
-    outside = set(topics) if score == "new" else set()
+    outside = set(topics) if how["measure"] == "new" else set()
     by: dict[str, list[str]] = {}
     for p, ts in terms.items():
         for t in ts:
@@ -82,19 +110,22 @@ def choose_posts(topics: list[str], rank: dict[str, float], terms: dict[str, fro
         return any(n / (len(terms[p]) + len(terms[q]) - n) > overlap for q, n in shared.items())
 
     for t in topics:
-        own = [p for p in by.get(t, []) if p not in taken]
-        taken.update(own)
-        valued = sorted(((sum(rank.get(x, 0.0) for x in sorted(terms[p]) if x not in outside), p) for p in own), key=lambda v: (-round(v[0], 12), v[1]))
+        own = [p for p in by.get(t, []) if p not in taken and not (representative and any(rank.get(x, 0.0) > rank.get(t, 0.0) for x in terms[p]))]
+        if how["once"]:
+            taken.update(own)
+        if how["apart"] != "all":
+            met = {}
+        value = alike(own, terms) if how["measure"] == "alike" else {p: sum(rank.get(x, 0.0) for x in sorted(terms[p]) if x not in outside) for p in own}
         kept = 0
-        for value, p in valued:
+        for p in sorted(own, key=lambda p: (-round(value[p], 12), p)):
             if kept == per_topic:
                 break
-            if not repeats(p):
-                chosen.append((p, value))
+            if how["apart"] == "none" or not repeats(p):
+                chosen.setdefault(p, value[p])
                 kept += 1
                 for x in terms[p]:
                     met.setdefault(x, []).append(p)
-    return chosen
+    return list(chosen.items())
 
 
 def diversify(names: list[str], terms: dict[str, frozenset], stop: float = DIVERSE_STOP, cover: float | None = None) -> list[tuple[str, float]]:
@@ -131,7 +162,39 @@ def diversify(names: list[str], terms: dict[str, frozenset], stop: float = DIVER
     return out or [(p, 0.0) for p in names[:1]]
 
 
-def inc_summary(words: DataFrame, snapshots: DataFrame, cover: float | None = None, score: str = "new", length: int = 20, stage: str = "diverse", per_topic: int = PER_TOPIC) -> DataFrame:
+def posts_for_topics(snapshots: DataFrame, counts: DataFrame, topics: int, per_topic: int, overlap: float = OVERLAP) -> DataFrame:
+    """``snapshot, place, tweet_id, value``: posts for the ``topics`` most frequent terms of each window.
+
+    ``counts`` has ``snapshot, term, n``. A post belongs to the first topic it
+    holds, by place; its value is the sum of n of its different terms that are no
+    topics. Values and places are joins; only posts that hold a topic go to the
+    greedy step, where one too similar to a chosen one is left out.
+    """
+    place = Window.partitionBy("snapshot").orderBy(F.desc("n"), "term")
+    top = counts.withColumn("place", F.row_number().over(place)).where(F.col("place") <= topics).select("snapshot", "term", "place")
+    each = snapshots.select("snapshot", "tweet_id", F.explode(F.array_distinct("terms")).alias("term"))
+    valued = each.join(counts, ["snapshot", "term"]).join(top, ["snapshot", "term"], "left")
+    own = valued.groupBy("snapshot", "tweet_id").agg(F.coalesce(F.sum(F.when(F.col("place").isNull(), F.col("n"))), F.lit(0)).alias("value"), F.min("place").alias("place"), F.collect_list("term").alias("terms")).where("place IS NOT NULL")
+
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["place", "value", "tweet_id"], ascending=[True, False, True], kind="stable")
+        met: dict[str, list[int]] = {}
+        kept: list[tuple] = []
+        n: Counter = Counter()
+        for p, t, v, terms in zip(g["place"], g["tweet_id"], g["value"], g["terms"]):
+            terms = frozenset(terms)
+            shared = Counter(i for x in terms for i in met.get(x, ()))
+            if n[p] < per_topic and not any(m / (len(terms) + kept[i][3] - m) > overlap for i, m in shared.items()):
+                for x in terms:
+                    met.setdefault(x, []).append(len(kept))
+                kept.append((p, t, v, len(terms)))
+                n[p] += 1
+        return pd.DataFrame({"snapshot": key[0], "place": [k[0] for k in kept], "tweet_id": [k[1] for k in kept], "value": [k[2] for k in kept]})
+
+    return own.groupBy("snapshot").applyInPandas(run, "snapshot int, place int, tweet_id string, value bigint")
+
+
+def inc_summary(words: DataFrame, snapshots: DataFrame, cover: float | None = None, score: str = "new", length: int = 20, stage: str = "diverse", per_topic: int = PER_TOPIC, representative: bool = False) -> DataFrame:
     """``snapshot, rank_no, tweet_id, score``: the diversified summary of each window;
     with ``stage`` "posts" what is chosen before that, with "topics" the subtopic
     terms (in place of ids) with their rank.
@@ -166,9 +229,9 @@ def inc_summary(words: DataFrame, snapshots: DataFrame, cover: float | None = No
         found = subtopics(rank, near, posts)
         best = [(t, rank[t]) for t in found]
         if stage != "topics":
-            best = choose_posts(found, rank, terms, per_topic, score=score)
+            best = choose_posts(found, rank, terms, per_topic, score=score, representative=representative)
         if stage == "diverse":
             best = diversify([a for a, _ in best], terms, cover=cover)
-        return pd.DataFrame({"snapshot": key[0], "rank_no": range(1, len(best) + 1), "tweet_id": [a for a, _ in best], "score": [s for _, s in best]})
+        return pd.DataFrame({"snapshot": key[0], "rank_no": range(1, len(best) + 1), "tweet_id": pd.Series([a for a, _ in best], dtype=object), "score": [float(s) for _, s in best]})
 
     return left.unionAll(right).groupBy("snapshot").applyInPandas(run, "snapshot int, rank_no int, tweet_id string, score double")

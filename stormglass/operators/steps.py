@@ -69,6 +69,16 @@ def running_max(df: DataFrame, order: str, value: str, name: str = "before") ->
     return parts.join(F.broadcast(starts), "_part").withColumn(name, F.greatest(own, "_most")).drop("_part", "_most")
 
 
+def running_sets(words: DataFrame, by: str, key: str, order: str, terms: str) -> DataFrame:
+    """``by, key, new_terms, n_union, n_both``: of each set in its group's order the terms no earlier one holds,
+    the size of the union up to it, and what it shares with the union before it."""
+    each = words.select(by, order, key, F.explode(F.array_distinct(terms)).alias("_t"))
+    first = each.groupBy(by, "_t").agg(F.min(F.struct(order, key)).alias("f")).groupBy(by, F.col(f"f.{key}").alias(key)).agg(F.count(F.lit(1)).alias("new_terms"))
+    sized = words.select(by, key, order, F.size(F.array_distinct(terms)).cast("bigint").alias("n")).join(first, [by, key], "left").withColumn("new_terms", F.coalesce("new_terms", F.lit(0).cast("bigint")))
+    up_to = F.sum("new_terms").over(Window.partitionBy(by).orderBy(order, key).rowsBetween(Window.unboundedPreceding, 0))
+    return sized.select(by, key, "new_terms", up_to.alias("n_union"), (F.col("n") - F.col("new_terms")).alias("n_both"))
+
+
 def skip_first(df: DataFrame, n: int, *order: str, key: str) -> DataFrame:
     """All rows but the first ``n`` in the order: those are found by a bounded sort and taken out by key."""
     return df.join(F.broadcast(df.orderBy(*order).limit(n).select(key)), key, "left_anti")

@@ -1,7 +1,9 @@
-"""One topic per post by Gibbs sampling, and posts that represent the topics of a window."""
+"""One topic per post by Gibbs sampling over all posts, and posts that represent the topics of a window."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -12,88 +14,181 @@ from stormglass.runtime import materialize
 from .select import jaccard
 
 LEAST_UNIQUE, CONFIDENT, SCORED_UNIQUE = 5, 0.8, 7
+TOPICS, BETA, BURN, SWEEPS, EVERY = 30, 0.01, 100, 600, 20
+POSTS_PER_PART = 4000  #: posts a task samples between two exchanges of counts
+PARTS_AT_ONCE = 32  #: a task updates its counts after each so-manieth part of its posts
 
 
-def core_terms(occurrences: DataFrame, least_count: int = 5, least_terms: int = 3, rounds: int = 10) -> DataFrame:
+def core_terms(occurrences: DataFrame, least_count: int = 5, least_terms: int = 3) -> DataFrame:
     """``tweet_id, term`` left when terms with few occurrences and posts with few
-    terms are dropped in turn, until nothing changes or ``rounds`` are done."""
-    now, n = occurrences.select("tweet_id", "term"), None
-    for _ in range(rounds):
+    terms are dropped in turn, until nothing changes."""
+    now, n = materialize(occurrences.select("tweet_id", "term")), None
+    while True:
         terms = now.groupBy("term").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least_count).select("term")
         kept = now.join(terms, "term", "left_semi")
         posts = kept.groupBy("tweet_id").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least_terms).select("tweet_id")
         now = materialize(kept.join(posts, "tweet_id", "left_semi"))
         m = now.count()
-        if m == n:
-            break
+        if m == n or not m:
+            return now
         n = m
-    return now
 
 
-def gibbs(posts: list[list[int]], n_terms: int, topics: int = 30, sweeps: int = 100, burn: int = 20, every: int = 10, beta: float = 0.01, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Distributions of terms per topic and of topics, for posts of one topic each.
+class Sampler:
+    """Posts of one part as flat arrays; draws their topics against counts of terms.
 
-    Collapsed sampling; a term that is repeated in a post counts each time.
+    A post's probability under a topic multiplies the counts of its terms, each
+    occurrence of a term raised by those before it in the post, over the topic's
+    total, raised by the place in the post; the post itself is taken out first.
+    """
+
+    def __init__(self, posts: list[list[int]], z: np.ndarray, n_terms: int, topics: int, beta: float):
+        self.z, self.topics, self.beta, self.n_terms = z, topics, beta, n_terms
+        self.size = np.array([len(p) for p in posts], np.int64)
+        self.start = np.r_[0, np.cumsum(self.size)]
+        self.term = np.fromiter((w for p in posts for w in p), np.int64, int(self.start[-1]))
+        self.place = np.arange(len(self.term)) - np.repeat(self.start[:-1], self.size)
+        self.post = np.repeat(np.arange(len(posts)), self.size)
+        # Terms of a post are sorted: how often a term stood before in its post is its distance to the run's begin.
+        run = np.r_[True, (self.term[1:] != self.term[:-1]) | (self.post[1:] != self.post[:-1])] if len(self.term) else np.zeros(0, bool)
+        self.before = np.arange(len(self.term)) - np.maximum.accumulate(np.where(run, np.arange(len(self.term)), 0)) if len(self.term) else self.place
+
+    def sweep(self, terms: np.ndarray, total: np.ndarray, per: np.ndarray, alpha: float, rng: np.random.Generator) -> None:
+        """One draw for every post; the counts (``terms`` by topic, ``total``, ``per``) follow."""
+        n = len(self.size)
+        for a in range(0, n, max(1, -(-n // PARTS_AT_ONCE))):
+            b = min(n, a + max(1, -(-n // PARTS_AT_ONCE)))
+            lo, hi = self.start[a], self.start[b]
+            term, post, z = self.term[lo:hi], self.post[lo:hi] - a, self.z[a:b]
+            own = np.zeros((hi - lo, self.topics))
+            own[np.arange(hi - lo), z[post]] = 1.0
+            # What the post itself adds to its topic: of each term as often as it holds it, of all as long as it is.
+            key = post * self.n_terms + term
+            _, back, times = np.unique(key, return_inverse=True, return_counts=True)
+            count = terms[:, term].T - own * times[back][:, None]
+            whole = total[None, :] - own * self.size[a:b][post][:, None]
+            each = np.log(np.maximum(count, 0) + self.beta + self.before[lo:hi, None]) - np.log(np.maximum(whole, 0) + self.n_terms * self.beta + self.place[lo:hi, None])
+            like = np.add.reduceat(each, self.start[a:b] - lo) if hi > lo else np.zeros((b - a, self.topics))
+            mine = np.zeros((b - a, self.topics))
+            mine[np.arange(b - a), z] = 1.0
+            logp = like + np.log(np.maximum(per[None, :] - mine, 0) + alpha)
+            q = np.cumsum(np.exp(logp - logp.max(axis=1, keepdims=True)), axis=1)
+            new = np.minimum((q < rng.random((b - a, 1)) * q[:, -1:]).sum(axis=1), self.topics - 1)
+            np.add.at(terms, (z[post], term), -1)
+            np.add.at(terms, (new[post], term), 1)
+            np.add.at(total, z, -self.size[a:b])
+            np.add.at(total, new, self.size[a:b])
+            np.add.at(per, z, -1)
+            np.add.at(per, new, 1)
+            self.z[a:b] = new
+
+
+def _seed(*parts: int) -> np.random.Generator:
+    return np.random.default_rng([abs(p) for p in parts])
+
+
+def fit(core: DataFrame, topics: int = TOPICS, sweeps: int = SWEEPS, burn: int = BURN, every: int = EVERY, beta: float = BETA, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+    """``topic, term, phi`` and ``topic, theta`` of all posts in ``core``, materialized.
+
+    Every post takes part. Posts are divided into parts by a hash of their id,
+    4,000 or so each; a task sweeps its part ``every`` times against the counts
+    of all, its own changes included, then the parts' topics are written and
+    counted anew (two aggregations, by topic and by topic and term). Counts go to
+    a part only for its own terms, by a join, so no table of all terms is held
+    anywhere. After ``burn`` sweeps the distributions are added up at each
+    exchange. With one part, as on small tables, this is the sequential sampler
+    but for the posts drawn at once. Deterministic for given parts.
     """
-    rng = np.random.default_rng(seed)
-    alpha = 50.0 / topics
-    z = rng.integers(0, topics, len(posts))
-    per, terms, total = np.zeros(topics), np.zeros((topics, n_terms)), np.zeros(topics)
-    for k, p in zip(z, posts):
-        per[k] += 1
-        total[k] += len(p)
-        np.add.at(terms[k], p, 1)
-    phi, theta, taken = np.zeros((topics, n_terms)), np.zeros(topics), 0
-    for sweep in range(sweeps):
-        for i, p in enumerate(posts):
-            k = z[i]
-            per[k] -= 1
-            total[k] -= len(p)
-            np.add.at(terms[k], p, -1)
-            logp = np.log(per + alpha)
-            counts: dict[int, int] = {}
-            for j, w in enumerate(p):
-                c = counts.get(w, 0)
-                counts[w] = c + 1
-                logp += np.log(terms[:, w] + beta + c) - np.log(total + n_terms * beta + j)
-            q = np.exp(logp - logp.max())
-            k = int(np.searchsorted(np.cumsum(q), rng.random() * q.sum()))
-            z[i] = k = min(k, topics - 1)
-            per[k] += 1
-            total[k] += len(p)
-            np.add.at(terms[k], p, 1)
-        if sweep >= burn and (sweep - burn) % every == 0:
-            phi += (terms + beta) / (total + n_terms * beta)[:, None]
-            theta += (per + alpha) / (len(posts) + topics * alpha)
-            taken += 1
-    return phi / max(1, taken), theta / max(1, taken)
-
-
-def fit(core: DataFrame, topics: int = 30, sample: int = 3000, **how) -> tuple[DataFrame, DataFrame]:
-    """``topic, term, phi`` and ``topic, theta``, fitted on a bounded sample of posts,
-    those of the smallest hash of their id."""
     spark = core.sparkSession
+    alpha = 50.0 / topics
     posts = core.groupBy("tweet_id").agg(F.array_sort(F.collect_list("term")).alias("terms"))
-    rows = posts.orderBy(F.xxhash64("tweet_id"), "tweet_id").limit(sample).collect()
-    names = sorted({t for r in rows for t in r["terms"]})
-    at = {t: i for i, t in enumerate(names)}
-    phi, theta = gibbs([[at[t] for t in r["terms"]] for r in rows], max(1, len(names)), topics, **how)
-    long = pd.DataFrame([(k, t, float(phi[k, i])) for t, i in at.items() for k in range(topics)], columns=["topic", "term", "phi"])
-    return spark.createDataFrame(long, "topic int, term string, phi double"), spark.createDataFrame([(k, float(x)) for k, x in enumerate(theta)], "topic int, theta double")
+    n_posts = core.select("tweet_id").distinct().count()
+    n_terms = core.select("term").distinct().count()
+    if not n_posts:
+        return spark.createDataFrame([], "topic int, term string, phi double"), spark.createDataFrame([(k, 1.0 / topics) for k in range(topics)], "topic int, theta double")
+    parts = max(1, math.ceil(n_posts / POSTS_PER_PART))
+    spread = posts.withColumn("part", F.pmod(F.xxhash64("tweet_id"), F.lit(parts)).cast("int"))
+    state = materialize(spread.withColumn("z", F.pmod(F.xxhash64("tweet_id", F.lit(seed)), F.lit(topics)).cast("int")).repartition(min(parts, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))), "part").sortWithinPartitions("part", "tweet_id"))
+    needed = materialize(state.select("part", F.explode(F.array_distinct("terms")).alias("term")).distinct())
+
+    def run(number: int, sizes: tuple):
+        def sample(key: tuple, own: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
+            own = own.sort_values("tweet_id", kind="stable")
+            names = sorted({t for ts in own["terms"] for t in ts})
+            at = {t: i for i, t in enumerate(names)}
+            terms = np.zeros((topics, n_terms if len(names) == n_terms else len(names)))
+            for t, row in zip(counts["term"], counts["per_topic"]):
+                if row is not None:
+                    terms[:, at[t]] = row
+            rows = [[at[t] for t in ts] for ts in own["terms"]]
+            s = Sampler([sorted(r) for r in rows], own["z"].to_numpy(np.int64).copy(), n_terms, topics, beta)
+            per, total = (np.array(x, float) for x in sizes)
+            rng = _seed(seed, number, int(key[0]))
+            for _ in range(every):
+                s.sweep(terms, total, per, alpha, rng)
+            return own.assign(z=s.z.astype(np.int32))[["part", "tweet_id", "terms", "z"]]
+
+        return sample
+
+    held: DataFrame | None = None
+    theta, taken = np.zeros(topics), 0
+    kept: list[DataFrame] = []
+    for number in range(math.ceil(sweeps / every)):
+        per = {r["z"]: (r["n"], r["l"]) for r in state.groupBy("z").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("terms")).alias("l")).collect()}
+        sizes = ([per.get(k, (0, 0))[0] for k in range(topics)], [per.get(k, (0, 0))[1] for k in range(topics)])
+        counted = state.select("z", F.explode("terms").alias("term")).groupBy("term").agg(*[F.sum((F.col("z") == k).cast("int")).alias(f"k{k}") for k in range(topics)])
+        counts = counted.select("term", F.array(*[F.col(f"k{k}") for k in range(topics)]).alias("per_topic"))
+        sent = needed.join(counts, "term", "left")
+        state = materialize(state.groupBy("part").cogroup(sent.groupBy("part")).applyInPandas(run(number, sizes), "part int, tweet_id string, terms array<string>, z int"))
+        if (number + 1) * every > burn:
+            theta, taken = theta + _shares(state, topics, alpha, n_posts), taken + 1
+            kept.append(_phi(state, topics, beta, n_terms))
+    for one in kept:
+        held = one if held is None else held.unionAll(one)
+    held = held if held is not None else _phi(state, topics, beta, n_terms)
+    taken = max(1, taken)
+    # A term's row per sample holds all topics; topics without it have the smoothed share of the sample.
+    phi = held.groupBy("term").agg(*[(F.sum(F.get("phi", F.lit(k))) / taken).alias(f"k{k}") for k in range(topics)])
+    long = phi.select("term", F.posexplode(F.array(*[F.col(f"k{k}") for k in range(topics)])).alias("topic", "phi"))
+    theta = theta / taken if theta.sum() else _shares(state, topics, alpha, n_posts)
+    return materialize(long.select("topic", "term", "phi")), materialize(spark.createDataFrame([(k, float(x)) for k, x in enumerate(theta)], "topic int, theta double"))
+
+
+def _shares(state: DataFrame, topics: int, alpha: float, n_posts: int) -> np.ndarray:
+    n = {r["z"]: r["n"] for r in state.groupBy("z").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return (np.array([n.get(k, 0) for k in range(topics)]) + alpha) / (n_posts + topics * alpha)
+
+
+def _phi(state: DataFrame, topics: int, beta: float, n_terms: int) -> DataFrame:
+    """``term, phi`` of one sample, the shares under all topics in an array."""
+    total = {r["z"]: r["l"] for r in state.groupBy("z").agg(F.sum(F.size("terms")).alias("l")).collect()}
+    each = state.select("z", F.explode("terms").alias("term")).groupBy("term").agg(*[((F.sum((F.col("z") == k).cast("int")) + beta) / (total.get(k, 0) + n_terms * beta)).alias(f"k{k}") for k in range(topics)])
+    return each.select("term", F.array(*[F.col(f"k{k}") for k in range(topics)]).alias("phi"))
 
 
 def infer(core: DataFrame, phi: DataFrame, theta: DataFrame) -> DataFrame:
     """``tweet_id, topic, posterior, n_unique, score``: each post's most probable
     topic; the score is the mean probability of its different terms there, 0 if
-    they are few. Posts without a term of the model are left out."""
+    they are few. Every post has a row: a term the model lacks, as when posts came
+    later, says nothing about the topic but counts among the different ones, with
+    the probability 0; a post of such terms only has the most probable topic."""
     seen = core.groupBy("tweet_id", "term").agg(F.count(F.lit(1)).alias("n"))
-    like = seen.join(phi, "term").groupBy("tweet_id", "topic").agg(F.sum(F.col("n") * F.log("phi")).alias("l"), F.avg("phi").alias("mean"), F.count(F.lit(1)).alias("n_unique"))
-    full = like.join(F.broadcast(theta), "topic").withColumn("l", F.col("l") + F.log("theta"))
-    w = Window.partitionBy("tweet_id")
-    part = full.withColumn("e", F.exp(F.col("l") - F.max("l").over(w))).withColumn("posterior", F.col("e") / F.sum("e").over(w))
-    best = part.groupBy("tweet_id").agg(F.max(F.struct("posterior", (-F.col("topic")).alias("t"), "n_unique", "mean")).alias("m"))
-    score = F.when(F.col("m.n_unique") >= SCORED_UNIQUE, F.col("m.mean")).otherwise(0.0)
-    return best.select("tweet_id", (-F.col("m.t")).alias("topic"), F.col("m.posterior").alias("posterior"), F.col("m.n_unique").alias("n_unique"), score.alias("score"))
+    per = phi.groupBy("term").agg(F.array_sort(F.collect_list(F.struct("topic", "phi"))).alias("phis"))
+    named = F.array_sort(F.collect_list(F.struct("topic", "theta")))
+    prior = theta.agg(named.alias("m"))
+    row = prior.first()["m"] or []
+    topics, shares = [int(r["topic"]) for r in row], [float(r["theta"]) for r in row]
+    joined = seen.join(per, "term", "left").select("tweet_id", "n", F.transform("phis", lambda p: p["phi"]).alias("phis"))
+
+    def of(k: int):
+        return F.get("phis", F.lit(k))
+
+    sums = joined.groupBy("tweet_id").agg(F.count(F.lit(1)).alias("n_unique"), *[F.sum(F.coalesce(F.col("n") * F.log(of(k)), F.lit(0.0))).alias(f"l{k}") for k in range(len(topics))], *[F.sum(F.coalesce(of(k), F.lit(0.0))).alias(f"s{k}") for k in range(len(topics))])
+    likes = F.array(*[F.struct((F.col(f"l{k}") + math.log(shares[k])).alias("l"), F.lit(-t).alias("t"), (F.col(f"s{k}") / F.col("n_unique")).alias("mean")) for k, t in enumerate(topics)])
+    best = sums.select("tweet_id", "n_unique", likes.alias("a")).withColumn("m", F.array_max("a"))
+    whole = F.aggregate(F.transform("a", lambda x: F.exp(x["l"] - F.col("m.l"))), F.lit(0.0), lambda s, x: s + x)
+    score = F.when(F.col("n_unique") >= SCORED_UNIQUE, F.col("m.mean")).otherwise(0.0)
+    return best.select("tweet_id", (-F.col("m.t")).alias("topic"), (1 / whole).alias("posterior"), "n_unique", score.alias("score"))
 
 
 def confident(inferred: DataFrame) -> DataFrame:
@@ -110,7 +205,8 @@ def representatives(inferred: DataFrame, mass: float = 0.9, near: float = 0.5) -
     """``snapshot, rank_no, tweet_id, topic``: per window the best post of each of
     the topics that make up ``mass`` of it, without near copies.
 
-    ``inferred`` has a row per window and post, with ``terms``.
+    ``inferred`` has a row per window and post, with ``terms``. A window sends one
+    post per topic to the last step.
     """
     order = Window.partitionBy("snapshot").orderBy(F.desc("share"), "topic").rowsBetween(Window.unboundedPreceding, -1)
     top = topic_share(inferred).withColumn("before", F.coalesce(F.sum("share").over(order), F.lit(0.0))).where(F.round("before", 9) < mass)
@@ -126,3 +222,65 @@ def representatives(inferred: DataFrame, mass: float = 0.9, near: float = 0.5) -
         return pd.DataFrame({"snapshot": key[0], "rank_no": range(1, len(kept) + 1), "tweet_id": [k[0] for k in kept], "topic": [k[1] for k in kept]})
 
     return rows.groupBy("snapshot").applyInPandas(run, "snapshot int, rank_no int, tweet_id string, topic int")
+
+
+def in_windows(inferred: DataFrame, steps: DataFrame, window: int = 12) -> DataFrame:
+    """Each post once per window that sees it: those of the window's step and the steps before it, ``window`` in all."""
+    at = steps.select(F.col("step").alias("snapshot")).distinct()
+    seen = steps.withColumn("snapshot", F.explode(F.sequence(F.col("step"), F.col("step") + window - 1))).join(at, "snapshot", "left_semi")
+    return seen.join(inferred, "tweet_id")
+
+
+def top_terms(phi: DataFrame, k: int = 10) -> DataFrame:
+    """``topic, term, phi`` of each topic's ``k`` most probable terms."""
+    order = Window.partitionBy("topic").orderBy(F.desc("phi"), "term")
+    return phi.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= k).drop("_rn")
+
+
+def coherence(core: DataFrame, phi: DataFrame, k: int = 10) -> DataFrame:
+    """``topic, coherence``: how often the ``k`` top terms of a topic stand in one post, as the sum of
+    ln((posts with both + 1) / posts with one) over ordered pairs, by the number of pairs."""
+    top = F.broadcast(top_terms(phi, k).select("topic", "term"))  # topics times k rows
+    held = core.distinct().join(top, "term").groupBy("topic", "tweet_id").agg(F.collect_set("term").alias("t"))
+    count = held.select("topic", F.explode("t").alias("u")).groupBy("topic", "u").agg(F.count(F.lit(1)).alias("n"))
+    pair = F.flatten(F.transform("t", lambda a: F.transform(F.filter("t", lambda b: a != b), lambda b: F.struct(a.alias("u"), b.alias("v")))))
+    both = held.select("topic", F.inline(pair)).groupBy("topic", "u", "v").agg(F.count(F.lit(1)).alias("m"))
+    each = count.join(count.select("topic", F.col("u").alias("v")), "topic").where("u <> v").join(both, ["topic", "u", "v"], "left")
+    return each.groupBy("topic").agg((F.sum(F.log((F.coalesce("m", F.lit(0)) + 1) / F.col("n"))) / (k * (k - 1) / 2)).alias("coherence"))
+
+
+def given(core: DataFrame, topic: DataFrame, beta: float = BETA) -> tuple[DataFrame, DataFrame]:
+    """``phi`` and ``theta`` of a given division of the posts: ``topic`` has ``tweet_id, topic``."""
+    own = core.join(topic, "tweet_id")
+    per = own.groupBy("topic").agg(F.count(F.lit(1)).alias("l"), F.countDistinct("tweet_id").alias("p"))
+    n_terms, n_posts = core.agg(F.countDistinct("term"), F.countDistinct("tweet_id")).first()
+    cells = core.select("term").distinct().crossJoin(F.broadcast(per.select("topic", "l")))  # a row per term and topic is the result
+    n = own.groupBy("topic", "term").agg(F.count(F.lit(1)).alias("n"))
+    phi = cells.join(n, ["topic", "term"], "left").select("topic", "term", ((F.coalesce("n", F.lit(0)) + beta) / (F.col("l") + n_terms * beta)).alias("phi"))
+    return phi, per.select("topic", (F.col("p") / n_posts).alias("theta"))
+
+
+def write_model(path: str, core: DataFrame, phi: DataFrame, theta: DataFrame, inferred: DataFrame, steps: DataFrame, k_terms: int = 10, k_posts: int = 5) -> None:
+    """The files of a model below ``path``: words, topicWordDistributions, topWords, topPosts (by score), stepTopics, coherence, topics.
+
+    ``steps`` has ``tweet_id, step, text``.
+    """
+    from stormglass.sources.sinks import write_csv
+
+    order = Window.partitionBy("topic").orderBy(F.desc("score"), "tweet_id")
+    best = inferred.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= k_posts)
+    per = inferred.join(steps.select("tweet_id", "step"), "tweet_id").groupBy("step", "topic").agg(F.count(F.lit(1)).alias("n"))
+    parts = {
+        "words": phi.select("term").distinct(),
+        "topicWordDistributions": phi.select("topic", "term", "phi"),
+        "topWords": top_terms(phi, k_terms),
+        "topPosts": best.join(steps, "tweet_id").select("topic", "tweet_id", "score", F.regexp_replace("text", "[\r\n]", " ").alias("text")),
+        "stepTopics": per.select("step", "topic", (F.col("n") / F.sum("n").over(Window.partitionBy("step"))).alias("share")),
+        "coherence": coherence(core, phi, k_terms),
+        "topics": theta,
+    }
+    for name, df in parts.items():
+        write_csv(df, f"{path}/{name}")
+
+
+__all__ = ["coherence", "confident", "core_terms", "fit", "given", "in_windows", "infer", "representatives", "top_terms", "topic_share", "write_model"]

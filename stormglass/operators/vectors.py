@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -45,15 +45,36 @@ def norms(vectors: DataFrame, key: str, *by: str) -> DataFrame:
     return vectors.groupBy(*by, key).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
 
 
+def units(vectors: DataFrame, key: str, *by: str) -> DataFrame:
+    """Vectors scaled to length one; those without length are left out."""
+    whole = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(*by, key)))
+    return vectors.withColumn("_norm", whole).where("_norm > 0").select(*by, key, "term", (F.col("weight") / F.col("_norm")).alias("weight"))
+
+
 def similar_pairs(vectors: DataFrame, key: str, threshold: float, *by: str) -> DataFrame:
     """``*by, a, b, similarity`` with a < b: cosine of at least ``threshold``
-    between vectors of one group, from the terms they share."""
-    left = vectors.select(*by, "term", F.col(key).alias("a"), F.col("weight").alias("x"))
-    right = vectors.select(*by, "term", F.col(key).alias("b"), F.col("weight").alias("y"))
-    dots = left.join(right, [*by, "term"]).where("a < b").groupBy(*by, "a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-    n = norms(vectors, key, *by)
-    full = dots.join(n.withColumnsRenamed({key: "a", "norm": "na"}), [*by, "a"]).join(n.withColumnsRenamed({key: "b", "norm": "nb"}), [*by, "b"])
-    return full.select(*by, "a", "b", (F.col("dot") / (F.col("na") * F.col("nb"))).alias("similarity")).where(F.round("similarity", 9) >= threshold)
+    between vectors of one group, from the terms they share.
+
+    Vectors are scaled before they meet, so the pairs are joined once and summed
+    once, and nothing is joined to them afterwards.
+    """
+    unit = units(vectors, key, *by)
+    left = unit.select(*by, "term", F.col(key).alias("a"), F.col("weight").alias("x"))
+    right = unit.select(*by, "term", F.col(key).alias("b"), F.col("weight").alias("y"))
+    dots = left.join(right, [*by, "term"]).where("a < b").groupBy(*by, "a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("similarity"))
+    return dots.where(F.round("similarity", 9) >= threshold)
+
+
+def mean_similarity(vectors: DataFrame, key: str, *by: str) -> DataFrame:
+    """``*by, n, mean``: the mean cosine of all pairs of a group's vectors, null below two.
+
+    The sum over all pairs is that of the summed unit vectors with themselves,
+    so no pair is formed.
+    """
+    unit = units(vectors, key, *by)
+    n = unit.groupBy(*by, key).agg(F.lit(1).alias("one")).groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    whole = unit.groupBy(*by, "term").agg(F.sum("weight").alias("s")).groupBy(*by).agg(F.sum(F.col("s") * F.col("s")).alias("s"))
+    return n.join(whole, list(by)).select(*by, "n", F.when(F.col("n") > 1, (F.col("s") - F.col("n")) / (F.col("n") * (F.col("n") - 1))).alias("mean"))
 
 
 def jaccard_pairs(words: DataFrame, key: str, threshold: float, *by: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stormglass.functions import text as X
 from stormglass.functions.times import created
 from stormglass.operators import steps as S
-from stormglass.runtime import scratch_dir, table
+from stormglass.runtime import materialize, scratch_dir, table
 from stormglass.sources import posts as P
 from stormglass.sources import sinks
 
@@ -49,25 +49,43 @@ def src5_slice_lines(spark: SparkSession, sf: str) -> DataFrame:
     return lines.where("index >= 1000 AND index < 2000").select("delivery_id", "batch_file")
 
 
-@query("SELECT DISTINCT trim(tweet_id) AS tweet_id FROM id_list WHERE tweet_id IS NOT NULL")
+@query("SELECT DISTINCT trim(tweet_id) AS tweet_id FROM id_list WHERE trim(tweet_id) <> ''")
 def src6_scan_id_list(spark: SparkSession, sf: str) -> DataFrame:
-    return P.id_list(spark, sf)
+    path = scratch_dir(spark)
+    table(spark, sf, "id_list").select(F.coalesce("tweet_id", F.lit("")).alias("value")).write.text(path)
+    return P.read_ids(spark, path)
 
 
-@query("SELECT DISTINCT lower(word) AS word FROM stop_words UNION SELECT unnest(['//t', 'http', 'https'])")
+@query("SELECT DISTINCT lower(word) AS word FROM stop_words WHERE word <> '' UNION SELECT unnest(['//t', 'http', 'https'])")
 def src7_scan_stopwords(spark: SparkSession, sf: str) -> DataFrame:
-    return P.stop_words(spark, sf)
+    path = scratch_dir(spark)
+    words = table(spark, sf, "stop_words").where("word IS NOT NULL")
+    words.groupBy("list_no").agg(F.array_join(F.collect_list("word"), ",").alias("value")).write.partitionBy("list_no").text(path)
+    return P.read_stop_words(spark, path).select("word")
 
 
-@query("SELECT step, model, rank_no, text FROM summaries WHERE rank_no <= 3")
+@query("SELECT step, model, CAST(i AS INT) AS rank_no, text FROM (SELECT step, model, regexp_replace(text, '[\\r\\n]', ' ', 'g') AS text, row_number() OVER (PARTITION BY step, model ORDER BY rank_no, text) AS i FROM summaries) WHERE i <= 3")
 def src8_scan_summary_file(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "summaries").where("rank_no <= 3").select("step", "model", "rank_no", "text")
+    path = scratch_dir(spark)
+    sinks.write_summary_files(table(spark, sf, "summaries"), path, "step", "model")
+    lines = P.read_summaries(spark, path, 3)
+    return lines.select(F.regexp_extract("path", r"step=(\d+)", 1).cast("int").alias("step"), F.regexp_extract("path", r"model=([^/]+)", 1).alias("model"), "rank_no", "text")
+
 
+RAW_LINE = "tweet_id || ' ' || coalesce(user_id, '-') || ' ' || created_at_ms || ' en ' || trim(regexp_replace(text, '[\\s\\x0B\\x{85}\\x{2028}\\x{2029}]+', ' ', 'g'))"
 
-@query(r"SELECT tweet_id, regexp_extract(text, '^(\S+)\s', 1) AS head, regexp_extract(text, '(?s)^(?:\S+\s+){7}(.*)$', 1) AS rest FROM posts")
+
+@query(f"""WITH l AS (SELECT {RAW_LINE} AS line FROM posts WHERE tweet_id IS NOT NULL AND text IS NOT NULL)
+SELECT regexp_extract(line, '^[^ ]+') AS id, nullif(regexp_extract(line, '^(?:[^ ]+ +){{7}}(.+)$', 1), '') AS text, len(regexp_extract_all(regexp_extract(line, '^(?:[^ ]+ +){{4}}(.+)$', 1), '[^ ]+')) AS n_tokens FROM l""")
 def src9_scan_raw_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "posts")
-    return p.select("tweet_id", F.regexp_extract("text", r"^(\S+)\s", 1).alias("head"), F.regexp_extract("text", r"(?s)^(?:\S+\s+){7}(.*)$", 1).alias("rest"))
+    path = scratch_dir(spark)
+    text = F.trim(F.regexp_replace("text", r"[\s\x0B\x{85}\x{2028}\x{2029}]+", " "))
+    p = table(spark, sf, "posts").where("tweet_id IS NOT NULL AND text IS NOT NULL")
+    p.select(F.concat_ws(" ", "tweet_id", F.coalesce("user_id", F.lit("-")), F.col("created_at_ms").cast("string"), F.lit("en"), text).alias("value")).write.text(path)
+    both = P.read_raw(spark, path, 8).select("id", F.nullif("rest", F.lit("")).alias("text")), P.read_raw(spark, path, 5).select("id", "tokens", "rest")
+    numbered = [b.withColumn("line", F.monotonically_increasing_id()) for b in both]
+    n = F.when(F.coalesce("rest", F.lit("")) == "", 0).otherwise(F.size("tokens")).cast("bigint")
+    return numbered[0].join(numbered[1].select("line", n.alias("n_tokens")), "line").select("id", "text", "n_tokens")
 
 
 @query("SELECT step, model, rank_no, regexp_replace(text, '[\\r\\n]', ' ', 'g') AS text FROM summaries")
@@ -79,10 +97,10 @@ def snk1_write_step_summary(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(path).select("step", "model", "rank_no", "text")
 
 
-@query("SELECT line, count(*) AS n FROM (SELECT regexp_replace(text, '[\\r\\n]', ' ', 'g') AS line FROM summaries WHERE model = 'inc' UNION ALL SELECT DISTINCT '********** step = ' || step || ' ************ ' FROM summaries WHERE model = 'inc') GROUP BY line")
+@query("SELECT line, count(*) AS n FROM (SELECT regexp_replace(text, '[\\r\\n]', ' ', 'g') AS line FROM summaries UNION ALL SELECT DISTINCT '********** step = ' || step || ' ************ ' FROM summaries) GROUP BY line")
 def snk2_append_log(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_dir(spark)
-    rows = table(spark, sf, "summaries").where("model = 'inc'")
+    rows = table(spark, sf, "summaries")
     sinks.append_log(rows.where("step <= 25"), path)
     sinks.append_log(rows.where("step > 25"), path)
     return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
@@ -95,11 +113,20 @@ def snk5_write_tsv(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.text(path).select(F.col("value").alias("line"))
 
 
-@query("SELECT count(*) AS n, count(DISTINCT (baseline, step, k)) AS n_different FROM (SELECT DISTINCT model AS baseline FROM summaries WHERE model <> 'inc'), (SELECT DISTINCT step FROM summaries), (SELECT unnest([3, 5]) AS k)")
+@query(r"""WITH b AS (SELECT DISTINCT model AS baseline FROM summaries WHERE model <> 'inc'), t AS (SELECT DISTINCT step FROM summaries), ks AS (SELECT unnest([3, 5]) AS top_k),
+p AS (SELECT baseline, step, top_k FROM b, t, ks)
+SELECT baseline, p.step, top_k, count(DISTINCT rank_no) AS n_rows, count(*) AS n_cells FROM p JOIN summaries s ON s.step = p.step AND s.model IN ('inc', baseline) AND rank_no <= top_k GROUP BY ALL""")
 def snk6_write_ab_html(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "summaries").select("model", "step").distinct().collect()
-    plan = sinks.ab_plan(spark, sorted({r["model"] for r in rows} - {"inc"}), sorted({r["step"] for r in rows}), [3, 5])
-    return plan.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("baseline", "step", "top_k").alias("n_different"))
+    """The pages as read back: each has a row per rank and both posts where there are both."""
+    path, s = scratch_dir(spark), table(spark, sf, "summaries")
+    rows = s.select("model", "step").distinct().collect()
+    plan = materialize(sinks.ab_plan(spark, sorted({r["model"] for r in rows} - {"inc"}), sorted({r["step"] for r in rows}), [3, 5]))
+    sinks.ab_pages(s, plan, path)
+    pages = spark.read.text(f"{path}/pages", wholetext=True)
+    cells = F.regexp_extract_all("value", F.lit("<td>([^<]*)</td><td>([^<]*)</td><td>"), F.lit(1))
+    found = pages.select(F.col("index").cast("int").alias("index"), F.size(cells).cast("bigint").alias("n_rows"), F.size(F.regexp_extract_all("value", F.lit("<td>([^<]+)</td>"), F.lit(1))).cast("bigint").alias("n_all"))
+    key = spark.read.option("header", True).schema("index int, baseline string, step int, inc_set int, top_k int").csv(f"{path}/key")
+    return key.join(found, "index").select("baseline", "step", "top_k", "n_rows", (F.col("n_all") - F.col("n_rows")).alias("n_cells"))
 
 
 @query(f"WITH {STEPPED} SELECT tweet_id, step FROM s")
@@ -241,44 +268,45 @@ def top9_head_k_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _sides(spark: SparkSession, sf: str) -> DataFrame:
-    """Term sets of two models at each step."""
-    s = P.words_of(spark, sf, table(spark, sf, "summaries"), "text").select("step", "model", F.explode("terms").alias("term"))
-    per = s.where("model IN ('inc', 'lexrank')").groupBy("step").pivot("model", ["inc", "lexrank"]).agg(F.collect_set("term"))
-    empty = F.array().cast("array<string>")
-    return per.select("step", F.coalesce("inc", empty).alias("a"), F.coalesce("lexrank", empty).alias("b"))
+    """Term sets of every model at each step, beside those of the model they are held against."""
+    s = P.words_of(spark, sf, table(spark, sf, "summaries"), "text").select("step", "model", F.explode("terms").alias("term")).groupBy("step", "model").agg(F.collect_set("term").alias("terms"))
+    own, ref = s.where("model <> 'inc'").withColumnRenamed("terms", "b"), s.where("model = 'inc'").select("step", F.col("terms").alias("a"))
+    return own.join(ref, "step").select("step", "model", "a", "b")
 
 
-SIDES = f"""{X.STOP_SQL}, t AS (SELECT step, model, unnest({X.extract_terms_sql('text')}) AS term FROM summaries, stop WHERE model IN ('inc', 'lexrank')),
-sides AS (SELECT step, coalesce(list(DISTINCT term) FILTER (model = 'inc'), []) AS a, coalesce(list(DISTINCT term) FILTER (model = 'lexrank'), []) AS b FROM t GROUP BY step)"""
+SIDES = f"""{X.STOP_SQL}, t AS (SELECT step, model, list(DISTINCT term) AS terms FROM (SELECT step, model, unnest({X.extract_terms_sql('text')}) AS term FROM summaries, stop) GROUP BY ALL),
+sides AS (SELECT o.step, o.model, r.terms AS a, o.terms AS b FROM t o JOIN t r ON r.step = o.step AND r.model = 'inc' AND o.model <> 'inc')"""
 
 
-@query(f"WITH {SIDES} SELECT step, len(list_distinct(a || b)) AS n_union, len(list_intersect(a, b)) AS n_both FROM sides")
+@query(f"WITH {SIDES} SELECT step, model, len(list_distinct(a || b)) AS n_union, len(list_intersect(a, b)) AS n_both FROM sides")
 def set1_set2_union_intersect(spark: SparkSession, sf: str) -> DataFrame:
-    return _sides(spark, sf).select("step", F.size(F.array_union("a", "b")).cast("bigint").alias("n_union"), F.size(F.array_intersect("a", "b")).cast("bigint").alias("n_both"))
+    return _sides(spark, sf).select("step", "model", F.size(F.array_union("a", "b")).cast("bigint").alias("n_union"), F.size(F.array_intersect("a", "b")).cast("bigint").alias("n_both"))
 
 
-@query(f"WITH {SIDES} SELECT step, len(a) - len(list_intersect(a, b)) AS n_failed, len(b) - len(list_intersect(a, b)) AS n_missed FROM sides")
+@query(f"WITH {SIDES} SELECT step, model, len(a) - len(list_intersect(a, b)) AS n_failed, len(b) - len(list_intersect(a, b)) AS n_missed FROM sides")
 def set3_except(spark: SparkSession, sf: str) -> DataFrame:
-    return _sides(spark, sf).select("step", F.size(F.array_except("a", "b")).cast("bigint").alias("n_failed"), F.size(F.array_except("b", "a")).cast("bigint").alias("n_missed"))
+    return _sides(spark, sf).select("step", "model", F.size(F.array_except("a", "b")).cast("bigint").alias("n_failed"), F.size(F.array_except("b", "a")).cast("bigint").alias("n_missed"))
 
 
-@query(f"WITH {SIDES} SELECT step, round((len(a) - len(list_intersect(a, b))) / len(list_distinct(a || b)), 6) AS novelty FROM sides")
+@query(f"WITH {SIDES} SELECT step, model, round((len(a) - len(list_intersect(a, b))) / len(list_distinct(a || b)), 6) AS novelty FROM sides")
 def set4_novelty(spark: SparkSession, sf: str) -> DataFrame:
-    return _sides(spark, sf).select("step", F.round(X.novelty(F.col("a"), F.col("b")), 6).alias("novelty"))
+    return _sides(spark, sf).select("step", "model", F.round(X.novelty(F.col("a"), F.col("b")), 6).alias("novelty"))
 
 
-@query(f"WITH {SIDES} SELECT step, round(len(list_intersect(a, b)) / len(list_distinct(a || b)), 6) AS jaccard FROM sides")
+@query(f"WITH {SIDES} SELECT step, model, round(len(list_intersect(a, b)) / len(list_distinct(a || b)), 6) AS jaccard FROM sides")
 def set5_set6_jaccard(spark: SparkSession, sf: str) -> DataFrame:
-    return _sides(spark, sf).select("step", F.round(X.set_jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"))
+    return _sides(spark, sf).select("step", "model", F.round(X.set_jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"))
 
 
-@query("""WITH c AS (SELECT source, lang, count(*) AS n FROM documents WHERE source IN ('post', 'thread') AND lang IS NOT NULL GROUP BY ALL)
-SELECT a.lang, a.n - b.n AS n FROM c a JOIN c b ON a.lang = b.lang WHERE a.source = 'post' AND b.source = 'thread' AND a.n > b.n""")
+#: the counts of each source's languages less those of each other source, where that leaves any.
+@query("""WITH c AS (SELECT source, lang, count(*) AS n FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY ALL), s AS (SELECT DISTINCT source FROM c)
+SELECT a.source, s.source AS other, a.lang, a.n - coalesce(b.n, 0) AS n FROM c a JOIN s ON s.source <> a.source LEFT JOIN c b ON b.source = s.source AND b.lang = a.lang WHERE a.n > coalesce(b.n, 0)""")
 def set7_map_subtract(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "documents").where("source IN ('post', 'thread') AND lang IS NOT NULL").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
-    maps = c.groupBy().agg(*[F.map_from_entries(F.collect_list(F.when(F.col("source") == s, F.struct("lang", "n")))).alias(s) for s in ("post", "thread")])
-    left = F.map_filter(F.map_zip_with("post", "thread", lambda k, a, b: a - b), lambda k, v: v > 0)
-    return maps.select(F.explode(left).alias("lang", "n"))
+    c = table(spark, sf, "documents").where("source IS NOT NULL AND lang IS NOT NULL").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
+    maps = c.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("m"))
+    both = maps.join(maps.select(F.col("source").alias("other"), F.col("m").alias("o")), F.col("source") != F.col("other"))
+    left = F.map_filter(F.map_zip_with("m", "o", lambda k, a, b: a - F.coalesce(b, F.lit(0))), lambda k, v: v > 0)
+    return both.select("source", "other", F.explode(left).alias("lang", "n"))
 
 
 @query("SELECT text, min(summary_id) AS summary_id FROM summaries GROUP BY text")
@@ -314,6 +342,34 @@ def txt14_vector_codec(spark: SparkSession, sf: str) -> DataFrame:
     return counts.groupBy("tweet_id").agg(F.array_join(pairs, " ").alias("vector"))
 
 
+@query(f"WITH {WORDS} SELECT tweet_id, term, count(*) AS n FROM (SELECT tweet_id, unnest(terms) AS term FROM w) GROUP BY ALL")
+def txt14_vector_decode(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors written as text and read back."""
+    return X.decode_vector(txt14_vector_codec(spark, sf), "vector", "tweet_id").select("tweet_id", "term", F.col("value").cast("bigint").alias("n"))
+
+
+#: a cluster's sums as one line: its number of posts, its times, and the terms of both sums, which here are counts.
+@query(f"""WITH {WORDS}, m AS (SELECT coalesce(user_id, '-') AS cluster, step, tweet_id, terms FROM w), t AS (SELECT cluster, count(*) AS n, sum(step) AS t1, sum(step * step) AS t2 FROM m GROUP BY cluster),
+c AS (SELECT cluster, term, count(*) AS a, count(DISTINCT tweet_id) AS b FROM (SELECT cluster, tweet_id, unnest(terms) AS term FROM m) GROUP BY ALL),
+l AS (SELECT cluster, string_agg('2:' || term || ':' || printf('%.12f', a * 1000.0), chr(9) ORDER BY term) || chr(9) || string_agg('1:' || term || ':' || printf('%.12f', b * 1000.0), chr(9) ORDER BY term) AS x FROM c WHERE NOT contains(term, ':') GROUP BY cluster)
+SELECT cluster, '0:' || cluster || chr(9) || '5:' || n || chr(9) || '3:' || t1 || chr(9) || '4:' || t2 || chr(9) || x AS line FROM t JOIN l USING (cluster)""")
+def txt14_cluster_codec(spark: SparkSession, sf: str) -> DataFrame:
+    return X.encode_clusters(*_cluster_sums(spark, sf))
+
+
+@query(f"""WITH {WORDS} SELECT coalesce(user_id, '-') AS cluster, term, count(*) AS weight_sum, count(DISTINCT tweet_id) AS norm_sum FROM (SELECT user_id, tweet_id, unnest(terms) AS term FROM w) WHERE NOT contains(term, ':') GROUP BY ALL""")
+def txt14_cluster_decode(spark: SparkSession, sf: str) -> DataFrame:
+    out = X.decode_clusters(X.encode_clusters(*_cluster_sums(spark, sf)), "line")
+    return out.select("cluster", "term", F.col("weight_sum").cast("bigint").alias("weight_sum"), F.col("norm_sum").cast("bigint").alias("norm_sum"))
+
+
+def _cluster_sums(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    m = P.words(spark, sf).withColumn("cluster", F.coalesce("user_id", F.lit("-")))
+    times = m.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("step").alias("sum_t"), F.sum(F.col("step") * F.col("step")).alias("sum_t2"))
+    each = m.select("cluster", "tweet_id", F.explode("terms").alias("term")).where(~F.contains("term", F.lit(":")))
+    return each.groupBy("cluster", "term").agg(F.count(F.lit(1)).alias("weight_sum"), F.countDistinct("tweet_id").alias("norm_sum")), times
+
+
 @query(f"""WITH {WORDS}, o AS (SELECT created_at_ms, tweet_id, unnest(terms) AS term, generate_subscripts(terms, 1) AS i FROM w),
 f AS (SELECT term, min((created_at_ms, tweet_id, i)) AS spot FROM o GROUP BY term)
 SELECT term, row_number() OVER (ORDER BY spot) - 1 AS token_id FROM f""")

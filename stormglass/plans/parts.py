@@ -9,16 +9,15 @@ from pyspark.sql import functions as F
 
 from stormglass.functions import sampling
 from stormglass.functions.times import created
-from stormglass.operators import cluster, graph, paths, select, topics
+from stormglass.operators import cluster, graph, paths, select
 from stormglass.operators import steps as S
 from stormglass.operators import vectors as V
-from stormglass.runtime import materialize, scratch_dir, table
+from stormglass.runtime import materialize, table
 from stormglass.sources import posts as P
-from stormglass.sources import sinks
 
 from .base import CREATED
-from .models import gr20_path_search, topic_model, windows_of
-from .registry import query
+from .models import tagged_windows, windows_of
+from .registry import SNAPSHOTS, query
 from .vectors import JACCARD, WEIGHTS
 
 
@@ -34,10 +33,29 @@ def gr8_select_posts(spark: SparkSession, sf: str) -> DataFrame:
     return select.inc_summary(words, snaps, stage="posts")
 
 
-@query()
+#: The subtopics are given: the ten most frequent terms of a window; a post's value is the sum of its different terms' shares of the window, without the topics.
+GIVEN_TOPICS = f"""{SNAPSHOTS}, o AS (SELECT snapshot, tweet_id, unnest(list_distinct(terms)) AS term FROM snap), c AS (SELECT snapshot, term, count(*) AS n FROM o GROUP BY ALL),
+tp AS (SELECT snapshot, term, row_number() OVER (PARTITION BY snapshot ORDER BY n DESC, term) AS place FROM c QUALIFY place <= 10),
+v AS (SELECT o.snapshot, o.tweet_id, coalesce(sum(c.n) FILTER (tp.term IS NULL), 0) AS value, min(tp.place) AS place, list(o.term) AS terms FROM o JOIN c USING (snapshot, term) LEFT JOIN tp USING (snapshot, term) GROUP BY ALL),
+l AS (SELECT snapshot, list({{'id': tweet_id, 'place': place, 'value': value, 'terms': terms}} ORDER BY place, value DESC, tweet_id) AS xs FROM v WHERE place IS NOT NULL GROUP BY snapshot),
+kept AS (SELECT snapshot, unnest(list_reduce(list_transform(xs, lambda x: [x]), lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: k.place = x[1].place)) < LEAST AND len(list_filter(acc, lambda k: len(list_intersect(k.terms, x[1].terms)) / len(list_distinct(k.terms || x[1].terms)) > 0.2)) = 0 THEN acc || x ELSE acc END)) AS x FROM l)"""
+
+
+def given_topics(spark: SparkSession, sf: str, per_topic: int) -> DataFrame:
+    _, snaps = windows_of(spark, sf)
+    n = snaps.select("snapshot", "tweet_id", F.explode(F.array_distinct("terms")).alias("term")).groupBy("snapshot", "term").agg(F.count(F.lit(1)).alias("n"))
+    return select.posts_for_topics(snaps, n, 10, per_topic)
+
+
+@query(f"WITH {GIVEN_TOPICS.replace('LEAST', '3')} SELECT snapshot, CAST(x.place AS INT) AS place, x.id AS tweet_id, CAST(x.value AS BIGINT) AS value FROM kept")
 def top6_topk_per_subtopic(spark: SparkSession, sf: str) -> DataFrame:
-    words, snaps = windows_of(spark, sf)
-    return select.inc_summary(words, snaps, stage="posts", per_topic=1)
+    """At most three posts for each given subtopic."""
+    return given_topics(spark, sf, 3)
+
+
+@query(f"WITH {GIVEN_TOPICS.replace('LEAST', str(select.PER_TOPIC))} SELECT snapshot, CAST(x.place AS INT) AS place, x.id AS tweet_id, CAST(x.value AS BIGINT) AS value FROM kept")
+def gr8_given_topics(spark: SparkSession, sf: str) -> DataFrame:
+    return given_topics(spark, sf, select.PER_TOPIC)
 
 
 #: a post is left out if an earlier one of its step shares more than a fifth of the terms of both.
@@ -52,59 +70,27 @@ def jn6_anti_existing(spark: SparkSession, sf: str) -> DataFrame:
     return w.select("tweet_id").join(later, "tweet_id", "left_anti")
 
 
-@query()
-def flt5_confident_post(spark: SparkSession, sf: str) -> DataFrame:
-    _, core, phi, theta = topic_model(spark, sf)
-    return topics.confident(topics.infer(core, phi, theta))
-
-
-@query()
-def gr26_topic_post_score(spark: SparkSession, sf: str) -> DataFrame:
-    _, core, phi, theta = topic_model(spark, sf)
-    return topics.infer(core, phi, theta).select("tweet_id", "topic", "score")
-
-
-@query()
-def snk3_write_topic_model(spark: SparkSession, sf: str) -> DataFrame:
-    _, core, phi, theta = topic_model(spark, sf)
-    path = scratch_dir(spark)
-    top = phi.withColumn("rn", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("phi"), "term"))).where("rn <= 10")
-    parts = {"words": phi.select("term").distinct(), "topicWordDistributions": phi, "topWords": top, "topics": theta}
-    for name, df in parts.items():
-        sinks.write_csv(df, f"{path}/{name}")
-    out = None
-    for name in parts:
-        one = spark.read.text(f"{path}/{name}").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("file"), "n")
-        out = one if out is None else out.unionAll(one)
-    return out
-
-
-@query()
-def top7_gain_sort_limit(spark: SparkSession, sf: str) -> DataFrame:
-    order = Window.partitionBy("snapshot").orderBy(F.desc("gain"), "sentence")
-    return gr20_path_search(spark, sf).withColumn("rn", F.row_number().over(order)).where("rn <= 20")
-
-
-@query()
-def top10_candidate_order(spark: SparkSession, sf: str) -> DataFrame:
-    return gr20_path_search(spark, sf).orderBy(F.desc("snapshot"), "rank_no")
-
-
 @query()
 def gr21_collapse(spark: SparkSession, sf: str) -> DataFrame:
-    return gr20_path_search(spark, sf).where(F.col("sentence").contains(" and "))
+    """The sentences joined from several continuations of one begin."""
+    return paths.candidates(tagged_windows(spark, sf)).where("joined")
 
 
+#: one sentence, its content, its gain (the number of terms) and length; similar ones of a step are held against each other in order.
 @query()
 def gr22_dedup_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    """Summary posts as candidates: of those of a step that share much content, one stays."""
-    tagged = paths.tagged(table(spark, sf, "summaries"), "summary_id", "text").join(table(spark, sf, "summaries").select("summary_id", "step"), "summary_id")
+    """Summary posts as candidates, their gain by length: of those of a step that share much content, one stays."""
+    s = table(spark, sf, "summaries")
+    tagged = paths.tagged(s, "summary_id", "text").join(s.select("summary_id", "step", "rank_no"), "summary_id")
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("summary_id")
-        names = {tuple(n): i for i, n in zip(g["summary_id"][::-1], g["nodes"][::-1])}
-        kept = paths.deduplicate([(list(n), 1.0) for n in names])
-        return pd.DataFrame({"step": key[0], "summary_id": sorted(names[tuple(n)] for n, _ in kept)})
+        names: dict[tuple, int] = {}
+        gain: dict[tuple, float] = {}
+        for i, r, n in sorted(zip(g["summary_id"], g["rank_no"], g["nodes"]), key=lambda x: x[0]):
+            names.setdefault(tuple(n), i)
+            gain.setdefault(tuple(n), 1.0 / r)
+        kept = paths.deduplicate([paths.Candidate(n, gain[n], len(n), []) for n in names])
+        return pd.DataFrame({"step": key[0], "summary_id": sorted(names[c.nodes] for c in kept)})
 
     return tagged.groupBy("step").applyInPandas(run, "step int, summary_id bigint")
 
@@ -144,8 +130,26 @@ def gr3_sample_walks(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def gr4_incremental_rewalk(spark: SparkSession, sf: str) -> DataFrame:
-    """The deterministic rank of each window, which needs no walks to be repeated."""
-    return _per_window(spark, sf, graph.series_rank)
+    """The walks of each window taken over to the next: only those a change can touch are walked again."""
+    words, _ = windows_of(spark, sf)
+    edges = materialize(graph.window_edges(words))
+    snaps = S.snapshots(words.select("tweet_id", "step", "created_at_ms", "terms"))
+    order = Window.orderBy("snapshot")
+    steps = edges.select("snapshot").distinct().withColumn("after", F.lead("snapshot").over(order))  # one row per step
+    alone = snaps.select("snapshot", F.explode("terms").alias("u")).distinct().select("snapshot", "u", F.lit(None).cast("string").alias("v"), F.lit(0).cast("bigint").alias("total"))
+    both = edges.select("snapshot", "u", "v", "total").unionByName(alone).join(steps, "snapshot")
+    rows = both.select(F.col("snapshot"), F.lit(False).alias("old"), "u", "v", "total").unionByName(both.where("after IS NOT NULL").select(F.col("after").alias("snapshot"), F.lit(True).alias("old"), "u", "v", "total"))
+
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        store = sampling.WalkStore()
+        for old in (True, False):
+            part = g[g["old"] == old]
+            e = part[part["v"].notna()].sort_values(["u", "v"])
+            if len(part):
+                store.update(part.loc[part["v"].isna(), "u"].tolist(), dict(zip(zip(e["u"], e["v"]), e["total"].astype(float))))
+        return pd.DataFrame({"snapshot": key[0], "n_terms": [len(store.names)], "n_walks": [len(store.store)], "n_rewalked": [store.rewalked], "n_new": [store.new], "most_visited": [store.names[int(store.shares().argmax())] if store.names else None]})
+
+    return rows.groupBy("snapshot").applyInPandas(run, "snapshot int, n_terms int, n_walks int, n_rewalked int, n_new int, most_visited string")
 
 
 @query(f"""WITH {WEIGHTS}, m AS (SELECT right(cluster, 1) AS part, tweet_id, term, weight FROM v), nm AS (SELECT tweet_id, sqrt(sum(weight * weight)) AS norm FROM m GROUP BY tweet_id)
@@ -170,10 +174,3 @@ def st8_late_data(spark: SparkSession, sf: str) -> DataFrame:
     """Lines more than an hour older than the newest before them: what a watermark of an hour would drop."""
     h = table(spark, sf, "hurricane_harvey").select("delivery_id", F.unix_millis(created(F.col("created_at"))).alias("ms")).where("ms IS NOT NULL")
     return S.running_max(h, "delivery_id", "ms").where("ms < before - 3600000").select("delivery_id", (F.col("before") - F.col("ms")).alias("late_ms"))
-
-
-@query()
-def txt9_tagger_hook(spark: SparkSession, sf: str) -> DataFrame:
-    """The tagger is a parameter: here one that knows only ends and words."""
-    own = materialize(paths.tagged(P.posts(spark, sf), "tweet_id", "text", lambda w: "." if w in ".!?" else "nn"))
-    return own.select("tweet_id", F.size("nodes").alias("n"))

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stormglass.functions import text as X
-from stormglass.operators import evaluate, graph
+from stormglass.operators import evaluate, graph, paths
 from stormglass.operators import steps as S
 from stormglass.operators import vectors as V
 from stormglass.runtime import table
 from stormglass.sources import posts as P
 
-from .registry import EDGES, SNAPSHOTS, WORDS, query
+from .registry import EDGES, POSTS, SNAPSHOTS, WORDS, query
 
 
 @query(f"WITH {WORDS} SELECT term, count(*) AS n FROM (SELECT unnest(terms) AS term FROM w) GROUP BY term")
@@ -109,9 +109,10 @@ def jn4_all_pairs_cosine(spark: SparkSession, sf: str) -> DataFrame:
     return V.similar_pairs(step_vectors(spark, sf), "tweet_id", 0.2, "step").withColumn("similarity", F.round("similarity", 6))
 
 
-@query(f"WITH {STEP_SIM} SELECT step, count(*) AS pairs, round(avg(similarity), 6) AS mean FROM sim GROUP BY step")
+#: every pair of a step by brute force; a pair without a common term has similarity 0.
+@query(f"WITH {STEP_SIM}, t AS (SELECT step, sum(similarity) AS s FROM sim GROUP BY step), k AS (SELECT step, count(*) AS n FROM nm WHERE norm > 0 GROUP BY step) SELECT k.step, n, round(CASE WHEN n > 1 THEN coalesce(s, 0) / (n * (n - 1) / 2) END, 6) AS mean FROM k LEFT JOIN t USING (step)")
 def mth3_cosine(spark: SparkSession, sf: str) -> DataFrame:
-    return V.similar_pairs(step_vectors(spark, sf), "tweet_id", 0.0, "step").groupBy("step").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg("similarity"), 6).alias("mean"))
+    return V.mean_similarity(step_vectors(spark, sf), "tweet_id", "step").withColumn("mean", F.round("mean", 6))
 
 
 JACCARD = f"""{WORDS}, d AS (SELECT DISTINCT step, tweet_id, unnest(terms) AS term FROM w), n AS (SELECT tweet_id, count(*) AS n FROM d GROUP BY tweet_id),
@@ -179,11 +180,9 @@ def mth4_sq_euclid(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {WORDS}, o AS (SELECT tweet_id, unnest(terms) AS term, generate_subscripts(terms, 1) - 1 AS i FROM w)
-SELECT l.tweet_id, CAST(l.i AS INT) AS at, CAST(min(r.i) AS INT) AS next FROM o l JOIN o r ON l.tweet_id = r.tweet_id AND l.term = 'homes' AND r.i > l.i AND r.i - l.i <= 3 GROUP BY l.tweet_id, l.i""")
+SELECT l.term AS u, r.term AS v, count(DISTINCT (l.tweet_id, r.i)) AS n_places, count(DISTINCT l.tweet_id) AS n_posts FROM o l JOIN o r ON l.tweet_id = r.tweet_id AND r.i > l.i AND r.i - l.i <= 3 AND l.term <> r.term GROUP BY ALL""")
 def jn10_position_gap_join(spark: SparkSession, sf: str) -> DataFrame:
-    o = P.words(spark, sf).select("tweet_id", F.posexplode("terms").alias("i", "term"))
-    left, right = o.where("term = 'homes'").select("tweet_id", F.col("i").alias("at")), o.select("tweet_id", F.col("i").alias("j"))
-    return left.join(right, "tweet_id").where("j > at AND j - at <= 3").groupBy("tweet_id", "at").agg(F.min("j").alias("next"))
+    return graph.places(P.words(spark, sf)).groupBy("u", "v").agg(F.count(F.lit(1)).alias("n_places"), F.countDistinct("tweet_id").alias("n_posts"))
 
 
 @query(f"""WITH {WEIGHTS}, nm AS (SELECT tweet_id, sqrt(sum(weight * weight)) AS norm FROM v GROUP BY tweet_id),
@@ -222,28 +221,29 @@ def mth7_normal_quantile(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {WORDS}, o AS (SELECT DISTINCT step, tweet_id, created_at_ms, unnest(terms) AS term FROM w),
-f AS (SELECT step, term, min((created_at_ms, tweet_id)) AS first FROM o GROUP BY ALL)
-SELECT w.step, tweet_id, count(f.term) AS new_terms FROM w LEFT JOIN f ON f.step = w.step AND f.first = (w.created_at_ms, w.tweet_id) GROUP BY ALL""")
+f AS (SELECT step, term, min((created_at_ms, tweet_id)) AS first FROM o GROUP BY ALL),
+n AS (SELECT w.step, w.tweet_id, w.created_at_ms, len(list_distinct(terms)) AS size, count(f.term) AS new_terms FROM w LEFT JOIN f ON f.step = w.step AND f.first = (w.created_at_ms, w.tweet_id) GROUP BY ALL)
+SELECT step, tweet_id, new_terms, CAST(sum(new_terms) OVER (PARTITION BY step ORDER BY created_at_ms, tweet_id) AS BIGINT) AS n_union, size - new_terms AS n_both FROM n""")
 def agg13_set_overlap_stats(spark: SparkSession, sf: str) -> DataFrame:
-    w = P.words(spark, sf)
-    o = w.select("step", "created_at_ms", "tweet_id", F.explode(F.array_distinct("terms")).alias("term"))
-    first = o.groupBy("step", "term").agg(F.min(F.struct("created_at_ms", "tweet_id")).alias("f")).groupBy("step", F.col("f.tweet_id").alias("tweet_id")).agg(F.count(F.lit(1)).alias("new_terms"))
-    return w.select("step", "tweet_id").join(first, ["step", "tweet_id"], "left").select("step", "tweet_id", F.coalesce("new_terms", F.lit(0)).alias("new_terms"))
+    return S.running_sets(P.words(spark, sf), "step", "tweet_id", "created_at_ms", "terms")
 
 
-@query("""WITH o AS (SELECT source, doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS term FROM documents WHERE source IN ('post', 'faq')),
+COOCCUR = """o AS (SELECT source, doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS term FROM documents WHERE source IS NOT NULL),
 c AS (SELECT source, term, count(*) AS n FROM o GROUP BY ALL),
-top AS (SELECT source, term, n FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, term) AS rn FROM c) WHERE rn <= 10)
-SELECT x.source, x.term AS u, y.term AS v, count(*) AS n FROM o x JOIN top a ON a.source = x.source AND a.term = x.term JOIN o y ON y.doc_id = x.doc_id JOIN top b ON b.source = y.source AND b.term = y.term WHERE x.term < y.term GROUP BY ALL""")
+top AS (SELECT source, term, n FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, term) AS rn FROM c) WHERE rn <= 10),
+h AS (SELECT o.source, doc_id, o.term FROM o JOIN top ON top.source = o.source AND top.term = o.term)"""
+
+
+@query(f"WITH {COOCCUR} SELECT x.source, x.term AS u, y.term AS v, count(*) AS n FROM h x JOIN h y ON y.source = x.source AND y.doc_id = x.doc_id WHERE x.term < y.term GROUP BY ALL")
 def agg12_topic_tweet_cooccur(spark: SparkSession, sf: str) -> DataFrame:
     return cooccur(spark, sf)[1]
 
 
 def cooccur(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Top ten terms of two sources with their posts, and the posts two of them share."""
+    """Top ten terms of each source with their documents, and the documents two of them share."""
     from pyspark.sql import Window
 
-    o = table(spark, sf, "documents").where("source IN ('post', 'faq')").select("source", "doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))).alias("term"))
+    o = table(spark, sf, "documents").where("source IS NOT NULL").select("source", "doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))).alias("term"))
     order = Window.partitionBy("source").orderBy(F.desc("n"), "term")
     top = o.groupBy("source", "term").agg(F.count(F.lit(1)).alias("n")).withColumn("rn", F.row_number().over(order)).where("rn <= 10").select("source", "term", "n")
     own = o.join(F.broadcast(top.select("source", "term")), ["source", "term"]).groupBy("source", "doc_id").agg(F.array_sort(F.collect_set("term")).alias("t"))
@@ -251,10 +251,7 @@ def cooccur(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return top, own.select("source", F.inline(pair)).groupBy("source", "u", "v").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH o AS (SELECT source, doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS term FROM documents WHERE source IN ('post', 'faq')),
-c AS (SELECT source, term, count(*) AS n FROM o GROUP BY ALL),
-top AS (SELECT source, term, n FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, term) AS rn FROM c) WHERE rn <= 10),
-co AS (SELECT x.source, x.term AS u, y.term AS v, count(*) AS n FROM o x JOIN o y ON y.doc_id = x.doc_id GROUP BY ALL)
+@query(f"""WITH {COOCCUR}, co AS (SELECT x.source, x.term AS u, y.term AS v, count(*) AS n FROM h x JOIN h y ON y.source = x.source AND y.doc_id = x.doc_id GROUP BY ALL)
 SELECT a.source, round(sum(ln((coalesce(co.n, 0) + 1) / a.n)) / 45, 6) AS coherence FROM top a JOIN top b ON a.source = b.source AND a.term <> b.term LEFT JOIN co ON co.source = a.source AND co.u = a.term AND co.v = b.term GROUP BY a.source""")
 def mth14_coherence(spark: SparkSession, sf: str) -> DataFrame:
     top, pairs = cooccur(spark, sf)
@@ -307,9 +304,21 @@ def gr5_walk_pagerank_4(spark: SparkSession, sf: str) -> DataFrame:
     return ranked(spark, sf, 4)[1].withColumn("rank", F.round("rank", 9))
 
 
-@query()
+WALK20 = f"{DIRECTED}, r0 AS MATERIALIZED (SELECT node, 1.0::DOUBLE AS r FROM nodes), " + ", ".join(f"r{k} AS MATERIALIZED (SELECT v AS node, sum(r * p * 0.85) AS r FROM r{k - 1} JOIN pr ON u = node GROUP BY v)" for k in range(1, 20)) + ", rk AS (SELECT node, sum(r) / sum(sum(r)) OVER () AS rank FROM (" + " UNION ALL ".join(f"SELECT * FROM r{k}" for k in range(20)) + ") GROUP BY node)"
+
+
+@query(f"WITH {WALK20} SELECT node, round(rank, 9) AS rank FROM rk")
 def gr5_walk_pagerank(spark: SparkSession, sf: str) -> DataFrame:
-    return ranked(spark, sf, 20)[1]
+    return ranked(spark, sf, 20)[1].withColumn("rank", F.round("rank", 9))
+
+
+@query(f"WITH {WALK4}, t AS (SELECT node, rank FROM rk ORDER BY round(rank, 9) DESC, node LIMIT 20) SELECT printf('PageRank: %f, %s', rank, node) AS line FROM t UNION ALL SELECT printf('%s --> %s: %.1f', u, v, total::DOUBLE) FROM tot")
+def snk7_console_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines of a run's log: the top nodes by rank and the edges of the graph."""
+    from stormglass.sources import sinks
+
+    words, ranks = ranked(spark, sf, 4)
+    return sinks.rank_lines(ranks.select("node", F.round("rank", 9).alias("rank")), 20).unionAll(sinks.edge_lines(directed(words)))
 
 
 @query(f"WITH {WALK4} SELECT node, round(rank, 9) AS rank FROM rk ORDER BY round(rank, 9) DESC, node LIMIT 10")
@@ -379,30 +388,62 @@ def snk4_write_eval_csv(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema(wide.schema).csv(path)
 
 
-@query(f"""WITH {WORDS}, o AS (SELECT tweet_id, terms, unnest(terms) AS a, generate_subscripts(terms, 1) AS i FROM w), d AS (SELECT a, terms[i + 1] AS b, count(*) AS weight FROM o WHERE i < len(terms) GROUP BY ALL)
-SELECT a, b, weight FROM d WHERE a <> b""")
+TAGGED = f"{POSTS}, g AS (SELECT tweet_id, created_at_ms, {paths.tag_text_sql('text')} AS nodes FROM p)"
+NEXT_NODES = f"{TAGGED}, e AS (SELECT tweet_id, created_at_ms, unnest(nodes[:-2]) AS a, unnest(nodes[2:]) AS b, unnest(range(2, len(nodes) + 1)) AS i FROM g), nx AS (SELECT * FROM e WHERE a <> b AND NOT regexp_full_match(a, '{paths.STOP_ADDING}'))"
+
+
+def tagged_posts(spark: SparkSession, sf: str) -> DataFrame:
+    return paths.tagged(P.posts(spark, sf), "tweet_id", "text").join(P.posts(spark, sf).select("tweet_id", "created_at_ms"), "tweet_id")
+
+
+@query(f"WITH {NEXT_NODES} SELECT a, b, count(*) AS weight FROM nx GROUP BY ALL")
 def gr19_word_path_graph(spark: SparkSession, sf: str) -> DataFrame:
-    from stormglass.operators import paths
+    return paths.adjacent(paths.tagged(P.posts(spark, sf), "tweet_id", "text"), "nodes")
+
+
+def two_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates of two nodes that follow each other: where they are met, and their gain."""
+    g = P.posts(spark, sf).select(F.struct("created_at_ms", "tweet_id").alias("post"), paths.tag_text(F.col("text")).alias("nodes"))
+    pair = F.transform(F.sequence(F.lit(0), F.size("nodes") - 2), lambda i: F.struct(F.get("nodes", i).alias("a"), F.get("nodes", i + 1).alias("b")))
+    each = g.where(F.size("nodes") > 1).select("post", F.inline(pair)).where(F.col("a") != F.col("b")).where(~F.col("a").rlike(f"^{paths.STOP_ADDING}$"))
+    return each.groupBy("a", "b").agg(F.min("post").alias("first"), F.count(F.lit(1)).alias("n_places")).withColumn("gain", paths.path_score(F.col("n_places"), F.lit(2)) / 2)
+
+
+@query(f"WITH {NEXT_NODES} SELECT a, b, round(count(*) * log2(2) / 2, 6) AS gain FROM nx GROUP BY ALL ORDER BY gain DESC, a, b LIMIT 20")
+def top7_gain_sort_limit(spark: SparkSession, sf: str) -> DataFrame:
+    return two_nodes(spark, sf).withColumn("gain", F.round("gain", 6)).orderBy(F.desc("gain"), "a", "b").limit(20).select("a", "b", "gain")
 
-    return paths.adjacent(P.words(spark, sf), "terms").where("a <> b")
 
+#: the order of candidates: the latest first post first, of one first post the fewest places.
+@query(f"WITH {NEXT_NODES}, c AS (SELECT a, b, min((created_at_ms, tweet_id)) AS first, count(*) AS n_places FROM nx GROUP BY ALL) SELECT a, b, n_places, row_number() OVER (ORDER BY first DESC, n_places, a, b) - 1 AS place FROM c")
+def top10_candidate_order(spark: SparkSession, sf: str) -> DataFrame:
+    c = two_nodes(spark, sf).select("a", "b", "n_places", (-F.col("first.created_at_ms")).alias("ms"), "first")
+    last = c.select("first").distinct()
+    # Strings cannot be negated: equal times are ordered by their place among the first posts.
+    at = S.with_index(last, "first", name="i")
+    return S.with_index(c.join(at, "first").select("a", "b", "n_places", (-F.col("i")).alias("i")), "i", "n_places", "a", "b", name="place").select("a", "b", "n_places", "place")
 
-@query(f"""WITH {WORDS}, t1 AS (SELECT tweet_id, unnest(terms) AS term FROM w), c1 AS (SELECT term FROM t1 GROUP BY term HAVING count(*) >= 5),
-t2 AS (SELECT tweet_id, term FROM t1 JOIN c1 USING (term)), k2 AS (SELECT tweet_id FROM t2 GROUP BY tweet_id HAVING count(*) >= 3),
-t3 AS (SELECT * FROM t2 JOIN k2 USING (tweet_id)), c2 AS (SELECT term FROM t3 GROUP BY term HAVING count(*) >= 5),
-t4 AS (SELECT tweet_id, term FROM t3 JOIN c2 USING (term)), k3 AS (SELECT tweet_id FROM t4 GROUP BY tweet_id HAVING count(*) >= 3)
-SELECT tweet_id, count(*) AS n FROM t4 JOIN k3 USING (tweet_id) GROUP BY tweet_id""")
+
+#: cp, ck: what is left of terms and posts after so many rounds of the filter; more than it takes to settle.
+CORE = f"""{WORDS}, k0 AS MATERIALIZED (SELECT tweet_id, unnest(terms) AS term FROM w), """ + ", ".join(
+    f"c{i} AS MATERIALIZED (SELECT tweet_id, term FROM k{i - 1} WHERE term IN (SELECT term FROM k{i - 1} GROUP BY term HAVING count(*) >= 5)), k{i} AS MATERIALIZED (SELECT tweet_id, term FROM c{i} WHERE tweet_id IN (SELECT tweet_id FROM c{i} GROUP BY tweet_id HAVING count(*) >= 3))" for i in range(1, 16)
+)
+
+
+@query(f"WITH {CORE} SELECT tweet_id, count(*) AS n FROM k15 GROUP BY tweet_id")
 def gr23_kcore_filter(spark: SparkSession, sf: str) -> DataFrame:
     from stormglass.operators import topics
 
-    return topics.core_terms(P.words(spark, sf).select("tweet_id", F.explode("terms").alias("term")), rounds=2).groupBy("tweet_id").agg(F.count(F.lit(1)).alias("n"))
+    return topics.core_terms(P.words(spark, sf).select("tweet_id", F.explode("terms").alias("term"))).groupBy("tweet_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {STEP_SIM} SELECT step, a, round(sum(similarity), 6) AS centrality FROM (SELECT step, a, similarity FROM sim UNION ALL SELECT step, b, similarity FROM sim) GROUP BY step, a")
+#: the sum of a post's similarities to the others of its step, by sets of terms.
+@query(f"WITH {JACCARD}, jc AS (SELECT a, b, i / (x.n + y.n - i) AS s FROM i JOIN n x ON x.tweet_id = a JOIN n y ON y.tweet_id = b) SELECT w.step, w.tweet_id AS a, round(coalesce(sum(t.s), 0), 6) AS centrality FROM w LEFT JOIN (SELECT a, s FROM jc UNION ALL SELECT b, s FROM jc) t ON t.a = w.tweet_id GROUP BY ALL")
 def gr9_centrality(spark: SparkSession, sf: str) -> DataFrame:
-    s = V.similar_pairs(step_vectors(spark, sf), "tweet_id", 0.0, "step")
-    both = s.select("step", "a", "similarity").unionAll(s.select("step", F.col("b").alias("a"), "similarity"))
-    return both.groupBy("step", "a").agg(F.round(F.sum("similarity"), 6).alias("centrality"))
+    w = P.words(spark, sf)
+    s = V.jaccard_pairs(w, "tweet_id", 0.0, "step")
+    both = s.select("a", "similarity").unionAll(s.select(F.col("b").alias("a"), "similarity")).groupBy("a").agg(F.sum("similarity").alias("c"))
+    return w.select("step", F.col("tweet_id").alias("a")).join(both, "a", "left").select("step", "a", F.round(F.coalesce("c", F.lit(0.0)), 6).alias("centrality"))
 
 
 #: one round of the ranking of posts of a step over similarities of at least 0.2.
@@ -416,11 +457,20 @@ def gr12_lexrank_scores_1(spark: SparkSession, sf: str) -> DataFrame:
     return lexrank.step_scores(P.words(spark, sf), iterations=1).select("step", "tweet_id", F.round("score", 6).alias("score"))
 
 
-@query()
+#: x0 ... x50: the scores after each round; each is divided by its sum.
+LEXRANK = f"""{STEP_SIM}, g AS (SELECT step, a, b, similarity AS s FROM sim WHERE round(similarity, 9) >= 0.2 UNION ALL SELECT step, b, a, similarity FROM sim WHERE round(similarity, 9) >= 0.2),
+q AS MATERIALIZED (SELECT step, a, b, s / sum(s) OVER (PARTITION BY step, a) AS p FROM g), m AS MATERIALIZED (SELECT w.step, tweet_id, n FROM w JOIN n USING (step)),
+x0 AS MATERIALIZED (SELECT step, tweet_id, 1.0 / n AS score FROM m)""" + "".join(
+    f""", y{k} AS (SELECT q.step, q.b AS tweet_id, sum(score * p) AS s FROM x{k - 1} x JOIN q ON q.step = x.step AND q.a = x.tweet_id GROUP BY ALL),
+x{k} AS MATERIALIZED (SELECT m.step, m.tweet_id, (0.15 / n + 0.85 * coalesce(s, 0)) / sum(0.15 / n + 0.85 * coalesce(s, 0)) OVER (PARTITION BY m.step) AS score FROM m LEFT JOIN y{k} USING (step, tweet_id))""" for k in range(1, 51)
+)
+
+
+@query(f"WITH {LEXRANK} SELECT step, tweet_id, round(score, 6) AS score FROM x50")
 def gr12_lexrank_scores(spark: SparkSession, sf: str) -> DataFrame:
     from stormglass.operators import lexrank
 
-    return lexrank.step_scores(P.words(spark, sf))
+    return lexrank.step_scores(P.words(spark, sf)).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {STEP_SIM} SELECT step, a, b, round(similarity, 6) AS similarity FROM sim WHERE round(similarity, 9) >= 0.2 ORDER BY similarity, a, b")

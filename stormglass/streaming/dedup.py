@@ -20,6 +20,7 @@ from stormglass.runtime import scratch_dir
 NONE = -(2**63)
 OUT = "kind string, key bigint, ord bigint"
 STATE = "keys binary, ords binary, seen binary"
+PER_BUCKET = 50_000  #: identifiers a bucket should hold: about 1 MB
 PASS = 64  #: extra buckets for rows already known to be copies
 
 
@@ -46,7 +47,7 @@ def _rows(kind: str, keys: np.ndarray, ords: np.ndarray) -> pd.DataFrame:
 
 
 def _seen(buckets: int):
-    """State of one bucket: sorted keys with their earliest order and last sighting.
+    """State of one bucket, which ends by a timer also if no row comes: sorted keys with their earliest order and last sighting.
 
     Rows of keys in it are copies, unless their order is smaller, which
     supersedes the copy kept so far. Of the others a row is first if all earlier
@@ -59,6 +60,11 @@ def _seen(buckets: int):
             for p in parts:
                 yield _rows("copy", p["key"].to_numpy(), p["ord"].to_numpy())
             return
+        if state.hasTimedOut:
+            # The watermark has passed the oldest entries of a bucket no row came for.
+            keys, ords, seen = (np.frombuffer(b, np.int64) for b in state.get)
+            _keep(state, keys, ords, seen, state.getCurrentWatermarkMs())
+            return
         if state.exists:
             keys, ords, seen = (np.frombuffer(b, np.int64) for b in state.get)
         else:
@@ -92,11 +98,22 @@ def _seen(buckets: int):
             keys, ords, seen = np.r_[keys, k[new]], np.r_[ords, o[new]], np.r_[seen, last[new]]
             order = np.argsort(keys, kind="stable")
             keys, ords, seen = keys[order], ords[order], seen[order]
-        state.update((keys.tobytes(), ords.tobytes(), seen.tobytes()))
+        _keep(state, keys, ords, seen, mark)
 
     return run
 
 
+def _keep(state: GroupState, keys: np.ndarray, ords: np.ndarray, seen: np.ndarray, mark: int) -> None:
+    """Stores what is not older than the watermark, and asks to be called when it has passed the oldest of that."""
+    alive = seen >= mark
+    if not alive.any():
+        if state.exists:
+            state.remove()
+        return
+    state.update((keys[alive].tobytes(), ords[alive].tobytes(), seen[alive].tobytes()))
+    state.setTimeoutTimestamp(max(int(seen[alive].min()), mark) + 1)
+
+
 def first_copies(stream: DataFrame, key: str, order: str, arrived: str, event: Column, horizon: str = "1 day", buckets: int = 256) -> DataFrame:
     """A stream of ``kind, key, ord`` for the messages of ``stream``.
 
@@ -112,7 +129,7 @@ def first_copies(stream: DataFrame, key: str, order: str, arrived: str, event: C
     )
     parts = slim.mapInPandas(_combine(buckets), "bucket int, key bigint, ord bigint, event_ms bigint, at timestamp")
     timed = parts.withWatermark("at", horizon)
-    return timed.groupBy("bucket").applyInPandasWithState(_seen(buckets), OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return timed.groupBy("bucket").applyInPandasWithState(_seen(buckets), OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def settle(history: DataFrame) -> DataFrame:
@@ -131,15 +148,19 @@ def settle(history: DataFrame) -> DataFrame:
     return history.where("kind = 'copy'").select("key", "ord").unionAll(doubtful)
 
 
-def copies(stream: DataFrame, key: str, order: str, arrived: str, event: Column, horizon: str = "1 day", buckets: int = 256, checkpoint: str | None = None) -> DataFrame:
+def copies(stream: DataFrame, key: str, order: str, arrived: str, event: Column, horizon: str = "1 day", buckets: int | None = None, checkpoint: str | None = None) -> DataFrame:
     """Runs :func:`first_copies` over what is available and returns all copies
     (``key, ord``): every row whose key has a row of smaller order.
 
     State, progress and output are committed together under ``checkpoint``
     (default: a new folder below the shared one); called again with the same
     folder it goes on where it ended. Ties cannot occur: ``order`` is unique.
-    An empty stream gives an empty result.
+    An empty stream gives an empty result. A bucket's state is read and written as
+    a whole in each batch that has rows for it, so ``buckets`` should be what the
+    store remembers by :data:`PER_BUCKET`; a checkpoint keeps the number it began
+    with.
     """
+    buckets = buckets or 256
     spark = stream.sparkSession
     base = checkpoint or scratch_dir(spark)
     out = first_copies(stream, key, order, arrived, event, horizon, buckets)

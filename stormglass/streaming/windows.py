@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from stormglass.runtime import scratch_dir
+
 
 def tumbling_terms(stream: DataFrame, time: str, width: str = "1 hour", late: str = "1 hour", start: str = "0 seconds") -> DataFrame:
     """Occurrences per term and event-time window; a window is final once the watermark has passed it."""
@@ -20,6 +22,23 @@ def sliding_terms(stream: DataFrame, time: str, width: str = "12 hours", slide:
     return stream.withWatermark(time, late).groupBy(F.window(time, width, slide), "term").agg(F.count(F.lit(1)).alias("n"))
 
 
+def replay(rows: DataFrame, order: str, batches: int, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``rows``, materialized, as a stream that brings them in order of the integer column ``order``, in ``batches`` equal ranges.
+
+    A range is appended to a folder and ``run`` is called on the stream of that
+    folder, with the same checkpoint each time, before the next one comes: so a
+    range is one batch. Returns what the last call returned.
+    """
+    spark = rows.sparkSession
+    path, out = scratch_dir(spark), None
+    low, high = (x or 0 for x in rows.agg(F.min(order), F.max(order)).first())
+    width = (high - low) // batches + 1
+    for i in range(batches):
+        rows.where((F.col(order) >= low + i * width) & (F.col(order) < low + (i + 1) * width)).write.mode("append").parquet(path)
+        out = run(spark.readStream.schema(rows.schema).parquet(path))
+    return out
+
+
 def run_to_table(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what is available into a table, state and progress beside it."""
     stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/out").awaitTermination()
