@@ -36,19 +36,30 @@ def edges(words: DataFrame, *by: str) -> DataFrame:
     return p.groupBy(*by, F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).agg(F.count(F.lit(1)).alias("weight"))
 
 
+def both_ways(undirected: DataFrame, *by: str) -> DataFrame:
+    """``*by, u, v, total`` for each direction that occurs, from ``*by, a, b, there, back``: both
+    directions of a pair are one row, so no edge has to look for its reverse."""
+    total = F.col("there") + F.col("back")
+    there = F.when(F.col("there") > 0, F.struct(F.col("a").alias("u"), F.col("b").alias("v"), total.alias("total")))
+    back = F.when(F.col("back") > 0, F.struct(F.col("b").alias("u"), F.col("a").alias("v"), total.alias("total")))
+    return undirected.select(*by, F.inline(F.filter(F.array(there, back), lambda e: e.isNotNull())))
+
+
 def window_edges(words: DataFrame, window: int = 12) -> DataFrame:
-    """``snapshot, u, v, total, forward``: directed neighbours per snapshot, with
-    the undirected total. Edges add up, so steps are counted once and summed."""
-    per = pairs(words, "step").groupBy("step", "u", "v").agg(F.count(F.lit(1)).alias("n"))
+    """``snapshot, u, v, total``: directed neighbours per snapshot, with the
+    undirected total. Edges add up, so steps are counted once and summed."""
+    p = pairs(words, "step")
+    there = (F.col("u") < F.col("v")).cast("int")
+    per = p.groupBy("step", F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).agg(F.sum(there).alias("there"), F.sum(1 - there).alias("back"))
     steps = words.select(F.col("step").alias("snapshot")).distinct()
-    seen = per.select(F.explode(F.sequence(F.col("step") + 1, F.col("step") + window)).alias("snapshot"), "u", "v", "n").join(steps, "snapshot", "left_semi")
-    return with_totals(seen.groupBy("snapshot", "u", "v").agg(F.sum("n").alias("n")), "snapshot")
+    seen = per.select(F.explode(F.sequence(F.col("step") + 1, F.col("step") + window)).alias("snapshot"), "a", "b", "there", "back").join(steps, "snapshot", "left_semi")
+    return both_ways(seen.groupBy("snapshot", "a", "b").agg(F.sum("there").alias("there"), F.sum("back").alias("back")), "snapshot")
 
 
-def with_totals(directed: DataFrame, *by: str) -> DataFrame:
-    """Adds to each directed edge the weight of both directions."""
-    back = directed.select(*by, F.col("v").alias("u"), F.col("u").alias("v"), F.col("n").alias("m"))
-    return directed.join(back, [*by, "u", "v"], "left").select(*by, "u", "v", (F.col("n") + F.coalesce("m", F.lit(0))).alias("total"))
+def directed(words: DataFrame, *by: str) -> DataFrame:
+    """As :func:`window_edges` over all posts of each ``by``, or of all."""
+    there = (F.col("u") < F.col("v")).cast("int")
+    return both_ways(pairs(words, *by).groupBy(*by, F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).agg(F.sum(there).alias("there"), F.sum(1 - there).alias("back")), *by)
 
 
 def transitions(walkable: DataFrame, *by: str) -> DataFrame:

@@ -11,49 +11,58 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import graph
+from .steps import numbered
 
 TOPICS_STOP, NOVELTY, PER_TOPIC, OVERLAP, DIVERSE_STOP = 0.05, 0.1, 50, 0.2, 0.01
 
 
-def subtopics(rank: dict[str, float], near: dict[str, set[str]], posts: dict[str, set], stop: float = TOPICS_STOP, novelty: float = NOVELTY) -> list[str]:
-    """Terms that stand for subtopics, in order.
+Lists = tuple[np.ndarray, np.ndarray]  #: lists of numbers end to end, with where each begins and the last ends
+
+
+def lists(owner: np.ndarray, member: np.ndarray, n: int) -> Lists:
+    """The different members of each owner, 0 to n - 1, in order."""
+    order = np.lexsort((member, owner))
+    owner, member = owner[order], member[order]
+    new = np.r_[True, (owner[1:] != owner[:-1]) | (member[1:] != member[:-1])] if len(owner) else np.zeros(0, bool)
+    return np.searchsorted(owner[new], np.arange(n + 1)), member[new]
+
+
+def subtopics(rank: np.ndarray, near: Lists, posts: Lists, n_posts: int, stop: float = TOPICS_STOP, novelty: float = NOVELTY) -> list[int]:
+    """Terms that stand for subtopics, in order, by number.
 
     The term of the largest utility (its rank and its neighbours') is taken; one
     whose posts are mostly new is general, set aside and put at the end. Others
     are accepted, what they and their neighbours explain is taken off the
     utilities nearby, until the best is below a share of the sum of those taken.
     """
-    utility = {t: r + sum(rank[o] for o in near.get(t, ())) for t, r in rank.items()}
-    heap = [(-round(u, 12), t) for t, u in utility.items()]
-    heapq.heapify(heap)
-    seen = 0.0
-    done: set[str] = set()
-    covered: set = set()
-    accepted: list[str] = []
-    general: list[str] = []
-    while heap:
-        value, b = heapq.heappop(heap)
-        # Utilities only fall: an entry that is out of date goes back where it belongs.
-        if value != -round(utility[b], 12):
-            heapq.heappush(heap, (-round(utility[b], 12), b))
-            continue
-        own = posts[b]
-        if len(own - covered) / max(1, len(own | covered)) > novelty:
+    n = len(rank)
+    first, other = near
+    utility = rank + np.bincount(np.repeat(np.arange(n), np.diff(first)), rank[other], n) if n else rank
+    left, done = np.ones(n, bool), np.zeros(n, bool)
+    covered, n_covered, seen = np.zeros(n_posts, bool), 0, 0.0
+    accepted: list[int] = []
+    general: list[int] = []
+    while left.any():
+        b = int(np.where(left, utility.round(12), -np.inf).argmax())
+        left[b] = False
+        own = posts[1][posts[0][b] : posts[0][b + 1]]
+        fresh = int((~covered[own]).sum())
+        if fresh / max(1, n_covered + fresh) > novelty:
             general.append(b)
-            covered |= own
+            covered[own] = True
+            n_covered += fresh
             continue
         seen += utility[b]
         if utility[b] <= 0 or utility[b] / seen < stop:
             break
         accepted.append(b)
-        for c in near.get(b, set()) - {b}:
-            if b not in done:
-                utility[c] -= rank[b] + rank[c]
-            if c not in done:
-                for n in near.get(c, set()) - {c}:
-                    utility[n] -= rank[c]
-                done.add(c)
-        done.add(b)
+        around = other[first[b] : first[b + 1]]
+        if not done[b]:
+            utility[around] -= rank[b] + rank[around]
+        for c in around[~done[around]]:
+            utility[other[first[c] : first[c + 1]]] -= rank[c]
+        done[around] = True
+        done[b] = True
     return accepted + general
 
 
@@ -204,34 +213,36 @@ def inc_summary(words: DataFrame, snapshots: DataFrame, cover: float | None = No
     graph, which the choice needs as a whole anyway. Nothing but sets of terms,
     edges and ids goes there; texts stay outside.
     """
-    walkable = graph.window_edges(words)
-    left = snapshots.select("snapshot", F.lit(True).alias("post"), F.col("tweet_id").alias("a"), F.lit(None).cast("string").alias("b"), F.array_join(F.array_distinct("terms"), " ").alias("t"), F.lit(0).cast("bigint").alias("w"))
-    right = walkable.select("snapshot", F.lit(False).alias("post"), F.col("u").alias("a"), F.col("v").alias("b"), F.lit(None).cast("string").alias("t"), F.col("total").alias("w"))
+    plain, names, dictionary = numbered(words)
+    own = words.select("tweet_id", "step").join(plain, "tweet_id")
+    walkable = graph.window_edges(own)
+    seen = snapshots.select("snapshot", "tweet_id").join(plain, "tweet_id")
+    # A post's terms are rows of weight 0, so that all columns are numbers.
+    left = seen.select("snapshot", F.col("post").alias("a"), F.explode(F.array_distinct("terms")).alias("b"), F.lit(0).cast("bigint").alias("w"))
+    right = walkable.select("snapshot", F.col("u").alias("a"), F.col("v").alias("b"), F.col("total").alias("w"))
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        p, e = g[g["post"]], g[~g["post"]]
-        terms = {a: frozenset(t.split(" ")) for a, t in sorted(zip(p["a"], p["t"]), key=lambda x: x[0])}
-        names = sorted({t for ts in terms.values() for t in ts})
-        at = {t: i for i, t in enumerate(names)}
-        u = np.array([at[a] for a in e["a"]], np.int64)
-        v = np.array([at[b] for b in e["b"]], np.int64)
+        a, b, w = (g[c].to_numpy(np.int64) for c in "abw")
+        held, edge = w == 0, w > 0
+        order = np.lexsort((b[held], a[held]))
+        posts, flat = a[held][order], b[held][order]
+        ids, size = np.unique(posts, return_counts=True)
+        known = np.unique(flat)  # the window's terms, in order
+        terms, post = np.searchsorted(known, flat), np.repeat(np.arange(len(ids)), size)
+        u, v = np.searchsorted(known, a[edge]), np.searchsorted(known, b[edge])
         order = np.lexsort((v, u))
-        value = graph.series_rank(u[order], v[order], e["w"].to_numpy(float)[order], len(names), length)
-        rank = {t: float(value[i]) for t, i in at.items()}
-        near: dict[str, set[str]] = {}
-        for a, b in zip(u.tolist(), v.tolist()):
-            near.setdefault(names[a], set()).add(names[b])
-            near.setdefault(names[b], set()).add(names[a])
-        posts: dict[str, set] = {t: set() for t in rank}
-        for a, ts in terms.items():
-            for t in ts:
-                posts[t].add(a)
-        found = subtopics(rank, near, posts)
-        best = [(t, rank[t]) for t in found]
+        u, v, n = u[order], v[order], len(known)
+        rank = graph.series_rank(u, v, w[edge].astype(float)[order], n, length)
+        found = subtopics(rank, lists(np.r_[u, v], np.r_[v, u], n), lists(terms, post, n), len(ids))
+        best = [(known[t], rank[t]) for t in found]
         if stage != "topics":
-            best = choose_posts(found, rank, terms, per_topic, score=score, representative=representative)
-        if stage == "diverse":
-            best = diversify([a for a, _ in best], terms, cover=cover)
-        return pd.DataFrame({"snapshot": key[0], "rank_no": range(1, len(best) + 1), "tweet_id": pd.Series([a for a, _ in best], dtype=object), "score": [float(s) for _, s in best]})
-
-    return left.unionAll(right).groupBy("snapshot").applyInPandas(run, "snapshot int, rank_no int, tweet_id string, score double")
+            sets = {i: frozenset(x.tolist()) for i, x in enumerate(np.split(terms, np.cumsum(size)[:-1]))}
+            picked = choose_posts(found, dict(enumerate(rank.tolist())), sets, per_topic, score=score, representative=representative)
+            if stage == "diverse":
+                picked = diversify([i for i, _ in picked], sets, cover=cover)
+            best = [(ids[i], s) for i, s in picked]
+        return pd.DataFrame({"snapshot": key[0], "rank_no": range(1, len(best) + 1), "id": np.array([a for a, _ in best], np.int64), "score": np.array([s for _, s in best], float)})
+
+    out = left.unionAll(right).groupBy("snapshot").applyInPandas(run, "snapshot int, rank_no int, id bigint, score double")
+    back = dictionary.select(F.col("number").alias("id"), F.col("term").alias("tweet_id")) if stage == "topics" else names.select(F.col("post").alias("id"), "tweet_id")
+    return out.join(back, "id").select("snapshot", "rank_no", "tweet_id", "score")

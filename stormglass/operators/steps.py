@@ -55,6 +55,20 @@ def with_index(df: DataFrame, *order: str, name: str = "index") -> DataFrame:
     return ranked.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_own") - 1).drop("_part", "_start", "_own")
 
 
+def numbered(words: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Posts (``tweet_id, terms``) with numbers in place of names, which join, sort and travel better than strings.
+
+    Returns ``tweet_id, post, terms``, the terms as numbers in their order, and the dictionaries ``tweet_id, post`` and
+    ``term, number``, all materialized. Numbers are in the order of the names, so ties by number are ties by name.
+    """
+    base = words.groupBy("tweet_id").agg(F.first("terms").alias("terms"))
+    posts = materialize(with_index(base.select("tweet_id"), "tweet_id", name="post"))
+    terms = materialize(with_index(base.select(F.explode("terms").alias("term")).distinct(), "term", name="number"))
+    each = base.select("tweet_id", F.posexplode("terms").alias("i", "term")).join(terms, "term")
+    rows = each.groupBy("tweet_id").agg(F.array_sort(F.collect_list(F.struct("i", "number"))).alias("t"))
+    return materialize(rows.join(posts, "tweet_id").select("tweet_id", "post", F.transform("t", lambda x: x["number"]).alias("terms"))), posts, terms
+
+
 def running_max(df: DataFrame, order: str, value: str, name: str = "before") -> DataFrame:
     """Adds the largest ``value`` of all rows before each row in the order."""
     spark = df.sparkSession

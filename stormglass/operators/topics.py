@@ -210,7 +210,7 @@ def representatives(inferred: DataFrame, mass: float = 0.9, near: float = 0.5) -
     """
     order = Window.partitionBy("snapshot").orderBy(F.desc("share"), "topic").rowsBetween(Window.unboundedPreceding, -1)
     top = topic_share(inferred).withColumn("before", F.coalesce(F.sum("share").over(order), F.lit(0.0))).where(F.round("before", 9) < mass)
-    best = confident(inferred).groupBy("snapshot", "topic").agg(F.min(F.struct((-F.col("score")).alias("s"), "tweet_id", "terms")).alias("m"))
+    best = confident(inferred).groupBy("snapshot", "topic").agg(F.min(F.struct((-F.round("score", 12)).alias("s"), "tweet_id", "terms")).alias("m"))
     rows = best.join(top, ["snapshot", "topic"]).select("snapshot", "topic", "share", "m.tweet_id", "m.terms")
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:

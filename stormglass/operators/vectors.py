@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+BLOCK = 2000  #: vectors that meet as many others in one task
+
 
 def occurrences(words: DataFrame, *keep: str) -> DataFrame:
     return words.select(*keep, F.explode("terms").alias("term"))
@@ -65,6 +71,63 @@ def similar_pairs(vectors: DataFrame, key: str, threshold: float, *by: str) -> D
     return dots.where(F.round("similarity", 9) >= threshold)
 
 
+def blocked_pairs(vectors: DataFrame, key: str, threshold: float, by: str, block: int = BLOCK) -> DataFrame:
+    """As :func:`similar_pairs` for whole-number keys and terms (:func:`stormglass.operators.steps.numbered`).
+
+    A group's vectors are divided by key into blocks of ``block`` or so, and every two
+    blocks meet in one task, which adds up products by term in a matrix of that
+    size. A term that all vectors share makes no task larger than any other, and
+    only pairs at or above the threshold leave it.
+    """
+    unit = units(vectors, key, by)
+    n = unit.groupBy(by).agg(F.countDistinct(key).alias("_n")).select(by, F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
+    own = unit.join(n, by).withColumn("_x", F.pmod(F.xxhash64(key), F.col("_blocks")).cast("int")).withColumn("_y", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    sent = own.select(by, F.least("_x", "_y").alias("_lo"), F.greatest("_x", "_y").alias("_hi"), F.col("_x"), F.col(key).alias("a"), "term", "weight")
+
+    def run(k: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        same = k[1] == k[2]
+        low = g["_x"].to_numpy() == k[1]
+        side = [_sorted(g[c]) for c in ((low,) if same else (low, ~low))]
+        left, right = side[0], side[-1]
+        total = np.zeros(len(left[0]) * len(right[0]))
+        for i, j, w in _products(left, right):
+            total += np.bincount(i * len(right[0]) + j, w, len(total))
+        total = total.reshape(len(left[0]), -1)
+        i, j = np.nonzero(total.round(9) >= threshold)
+        if same:
+            i, j = i[i < j], j[i < j]
+        x, y = left[0][i], right[0][j]
+        return pd.DataFrame({by: k[0], "a": np.minimum(x, y), "b": np.maximum(x, y), "similarity": total[i, j]})
+
+    kind = vectors.schema[by].dataType.simpleString()
+    return sent.groupBy(by, "_lo", "_hi").applyInPandas(run, f"{by} {kind}, a bigint, b bigint, similarity double")
+
+
+def _sorted(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The keys, and the rows by term: the term, the key's place, the weight."""
+    keys, place = np.unique(rows["a"].to_numpy(np.int64), return_inverse=True)
+    term = rows["term"].to_numpy(np.int64)
+    order = np.lexsort((place, term))
+    return keys, term[order], place[order], rows["weight"].to_numpy(float)[order]
+
+
+def _products(left: tuple, right: tuple, at_once: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places and products of all rows of equal terms, some millions at a time."""
+    _, t, i, x = left
+    _, u, j, y = right
+    first, last = np.searchsorted(u, t, side="left"), np.searchsorted(u, t, side="right")
+    many = last - first
+    ends = np.cumsum(many)
+    start = 0
+    while start < len(t):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + at_once, side="right")))
+        m = many[start:stop]
+        rows = np.repeat(np.arange(start, stop), m)
+        other = np.arange(len(rows)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(first[start:stop], m)
+        yield i[rows], j[other], x[rows] * y[other]
+        start = stop
+
+
 def mean_similarity(vectors: DataFrame, key: str, *by: str) -> DataFrame:
     """``*by, n, mean``: the mean cosine of all pairs of a group's vectors, null below two.
 

@@ -164,7 +164,7 @@ def agg11_topic_share(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {GIVEN}, tp AS (SELECT snapshot, topic, share FROM (SELECT *, coalesce(sum(share) OVER (PARTITION BY snapshot ORDER BY share DESC, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sh) WHERE round(before, 9) < 0.9),
-b AS (SELECT snapshot, topic, tweet_id, list_distinct(terms) AS terms FROM win QUALIFY row_number() OVER (PARTITION BY snapshot, topic ORDER BY score DESC, tweet_id) = 1),
+b AS (SELECT snapshot, topic, tweet_id, list_distinct(terms) AS terms FROM win QUALIFY row_number() OVER (PARTITION BY snapshot, topic ORDER BY round(score, 12) DESC, tweet_id) = 1),
 o AS (SELECT snapshot, list({{'id': tweet_id, 'topic': topic, 'terms': terms}} ORDER BY share DESC, topic) AS xs FROM b JOIN tp USING (snapshot, topic) GROUP BY snapshot),
 r AS (SELECT snapshot, list_reduce(list_transform(xs, lambda x: [x]), lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: len(list_intersect(k.terms, x[1].terms)) / len(list_distinct(k.terms || x[1].terms)) >= 0.5)) = 0 THEN acc || x ELSE acc END) AS xs FROM o),
 u AS (SELECT snapshot, unnest(xs) AS x, unnest(range(1, len(xs) + 1)) AS rank_no FROM r) SELECT snapshot, CAST(rank_no AS INT) AS rank_no, x.id AS tweet_id, x.topic AS topic FROM u""")

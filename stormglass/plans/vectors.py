@@ -267,18 +267,14 @@ tot AS (SELECT d.u, d.v, d.n + coalesce(b.n, 0) AS total FROM dir d LEFT JOIN di
 pr AS (SELECT u, v, total / sum(total) OVER (PARTITION BY u) AS p FROM tot), nodes AS (SELECT DISTINCT unnest(terms) AS node FROM w)"""
 
 
-def directed(words: DataFrame, *by: str) -> DataFrame:
-    return graph.with_totals(graph.pairs(words, *by).groupBy(*by, "u", "v").agg(F.count(F.lit(1)).alias("n")), *by)
-
-
 @query(f"WITH {DIRECTED} SELECT u, v, total FROM tot")
 def gr1_build_word_graph(spark: SparkSession, sf: str) -> DataFrame:
-    return directed(P.words(spark, sf))
+    return graph.directed(P.words(spark, sf))
 
 
 @query(f"WITH {DIRECTED} SELECT u, v, round(p, 9) AS p FROM pr")
 def mth12_normalize_weights(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.transitions(directed(P.words(spark, sf))).withColumn("p", F.round("p", 9))
+    return graph.transitions(graph.directed(P.words(spark, sf))).withColumn("p", F.round("p", 9))
 
 
 @query(f"""WITH {SNAPSHOTS}, pos AS (SELECT snapshot, tweet_id, unnest(terms) AS term, generate_subscripts(terms, 1) AS i FROM snap)
@@ -296,7 +292,7 @@ rk AS (SELECT node, sum(r) / sum(sum(r)) OVER () AS rank FROM (SELECT * FROM r0
 def ranked(spark: SparkSession, sf: str, length: int) -> tuple[DataFrame, DataFrame]:
     words = P.words(spark, sf)
     nodes = words.select(F.explode("terms").alias("node")).distinct()
-    return words, graph.walk_rank(nodes, graph.transitions(directed(words)), length=length)
+    return words, graph.walk_rank(nodes, graph.transitions(graph.directed(words)), length=length)
 
 
 @query(f"WITH {WALK4} SELECT node, round(rank, 9) AS rank FROM rk")
@@ -318,7 +314,7 @@ def snk7_console_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
     from stormglass.sources import sinks
 
     words, ranks = ranked(spark, sf, 4)
-    return sinks.rank_lines(ranks.select("node", F.round("rank", 9).alias("rank")), 20).unionAll(sinks.edge_lines(directed(words)))
+    return sinks.rank_lines(ranks.select("node", F.round("rank", 9).alias("rank")), 20).unionAll(sinks.edge_lines(graph.directed(words)))
 
 
 @query(f"WITH {WALK4} SELECT node, round(rank, 9) AS rank FROM rk ORDER BY round(rank, 9) DESC, node LIMIT 10")

@@ -13,10 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh path below the shared folder of ``spark.checkpoint.dir``.
 
-    It is deleted when the application ends. Only where the session names none (tests, a laptop) a temporary folder is
-    created and set, and removed when the process ends.
+    It is deleted when the application ends. Only where the session names none and all of it runs in this process (tests,
+    a laptop) a temporary folder is created and set, and removed when the process ends; on a cluster that is an error,
+    since the executors could not read it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not base:
         base = tempfile.mkdtemp(prefix="stormglass-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)

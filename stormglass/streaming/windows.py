@@ -48,17 +48,18 @@ def run_to_table(stream: DataFrame, path: str, mode: str = "append") -> DataFram
 def per_batch(stream: DataFrame, path: str, summarize: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """One result per step of a stream with ``step``, replaced when a later batch brings more of it.
 
-    A batch's rows are kept under its number, so a batch that is run again
-    writes the same files; then the steps it touches are summarized from all
-    their rows, and only their partitions are overwritten.
+    A batch's rows are kept by step under its number, so a batch that is run again
+    writes the same files; then the steps it touches, which are few, are summarized
+    from the rows of these steps alone, and only their partitions are overwritten.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").partitionBy("step").parquet(f"{path}/rows/batch={number}")
-        rows = spark.read.option("basePath", f"{path}/rows").parquet(f"{path}/rows")
-        touched = rows.where(F.col("batch") == number).select("step").distinct()
-        summarize(rows.join(touched, "step", "left_semi").drop("batch")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("step").parquet(f"{path}/out")
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("step", "batch").parquet(f"{path}/rows")
+        rows = spark.read.parquet(f"{path}/rows")
+        touched = [r["step"] for r in rows.where(F.col("batch") == number).select("step").distinct().collect()]
+        if touched:
+            summarize(rows.where(F.col("step").isin(touched)).drop("batch")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("step").parquet(f"{path}/out")
 
     stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.read.parquet(f"{path}/out")

@@ -122,6 +122,18 @@ def test_similar_pairs_against_brute_force(spark):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
 
 
+@pytest.mark.parametrize("block", [7, 1000])
+def test_pairs_of_blocks(spark, block):
+    rng = np.random.default_rng(1)
+    rows = [(g, int(k), int(t), float(w)) for g in range(2) for k in range(40) for t, w in zip(rng.choice(15, 5, replace=False), rng.random(5))]
+    v = frame(spark, rows, "g int, k bigint, term bigint, weight double")
+    one = {(r["g"], r["a"], r["b"]): r["similarity"] for r in V.similar_pairs(v, "k", 0.3, "g").collect()}
+    got = V.blocked_pairs(v, "k", 0.3, "g", block).collect()
+    two = {(r["g"], r["a"], r["b"]): r["similarity"] for r in got}
+    assert one and len(got) == len(two) and one.keys() == two.keys() and all(one[k] == pytest.approx(two[k]) for k in one)
+    assert V.blocked_pairs(v.limit(0), "k", 0.3, "g").count() == 0
+
+
 def test_top_mass_and_top_k(spark):
     df = frame(spark, list(enumerate([0.1, 0.3, 0.3, 0.2, 0.05, 0.05])), "k int, v double")
     assert sorted(r["v"] for r in S.top_mass(df, "v", "k", 0.85).collect()) == [0.1, 0.2, 0.3, 0.3]
@@ -175,8 +187,43 @@ def test_summaries_stay_in_their_window_and_do_not_repeat(spark):
     assert all(select.jaccard(terms[a], terms[b]) <= 0.2 for ps in by.values() for a in ps for b in ps if a < b)
 
 
+def test_subtopics_against_a_plain_version():
+    """The same choice with sets and dictionaries, one neighbour after the other."""
+    rng = np.random.default_rng(12)
+    for _ in range(20):
+        n, m = 14, 9
+        posts = [sorted({int(x) for x in rng.integers(0, n, 4)}) for _ in range(m)]
+        near = {i: {j for p in posts if i in p for j in p if j != i} for i in range(n)}
+        held = {i: {k for k, p in enumerate(posts) if i in p} for i in range(n)}
+        rank = {i: float(x) for i, x in enumerate(rng.random(n) / n)}
+        utility = {t: r + sum(rank[o] for o in near[t]) for t, r in rank.items()}
+        left, seen, done, covered, accepted, general = set(rank), 0.0, set(), set(), [], []
+        while left:
+            b = min(left, key=lambda t: (-round(utility[t], 12), t))
+            left.discard(b)
+            if len(held[b] - covered) / max(1, len(held[b] | covered)) > select.NOVELTY:
+                general.append(b)
+                covered |= held[b]
+                continue
+            seen += utility[b]
+            if utility[b] <= 0 or utility[b] / seen < select.TOPICS_STOP:
+                break
+            accepted.append(b)
+            for c in near[b]:
+                if b not in done:
+                    utility[c] -= rank[b] + rank[c]
+                if c not in done:
+                    for o in near[c]:
+                        utility[o] -= rank[c]
+                    done.add(c)
+            done.add(b)
+        flat = lambda d: (np.r_[0, np.cumsum([len(d[i]) for i in range(n)])].astype(np.int64), np.array([x for i in range(n) for x in sorted(d[i])], np.int64))
+        assert select.subtopics(np.array([rank[i] for i in range(n)]), flat(near), flat(held), m) == accepted + general
+
+
 def test_selectors_on_nothing():
-    assert select.subtopics({}, {}, {}) == []
+    none = np.zeros(0, np.int64)
+    assert select.subtopics(np.zeros(0), (np.zeros(1, np.int64), none), (np.zeros(1, np.int64), none), 0) == []
     assert select.choose_posts([], {}, {}) == []
     assert select.diversify([], {}) == []
 
@@ -280,6 +327,17 @@ def test_paths(spark):
     assert paths.Window([]).sentences() == []
 
 
+def test_steps_of_a_window_are_joined_positions():
+    rng = np.random.default_rng(8)
+    posts = [[f"{'abcd'[x]}/nn" for x in rng.integers(0, 4, 9)] for _ in range(6)]
+    w = paths.Window(posts)
+    at = [(p, i) for p, nodes in enumerate(posts) for i in range(len(nodes))]
+    for n in range(len(w.names)):
+        places = w.where[n]
+        for m, met in w.follow(places):
+            assert [at[x] for x in met] == paths.join_positions([at[x] for x in places], [at[x] for x in w.where[m]])
+
+
 VALID = [("river/nn looks/vbz useful/jj", True), ("useful/jj river/nn", True), ("the/dt useful/jj river/nn", False), ("it/prp looks/vbz useful/jj town/nn", True), ("river/nn looks/vbz", False), ("useful/jj to/to run/vb", True), ("quickly/rb in/in town/nn", True), ("useful/jj river/nn in/in", False), ("town/nn", False)]
 
 
@@ -291,6 +349,14 @@ def test_valid_sentences(spark):
         assert c.execute(f"select {paths.valid_sql('s')} from (select ? as s)", [s]).fetchone()[0] == want
 
 
+def test_valid_sentences_by_lists_and_patterns(spark):
+    rng = np.random.default_rng(1)
+    tags = ["nn", "nns", "vbd", "vbz", "vb", "jj", "rb", "dt", "prp", "prp$", "to", "in", "cc", "cd"]
+    rows = [(" ".join(f"w{i}/{tags[x]}" for i, x in enumerate(rng.integers(0, len(tags), rng.integers(1, 7)))),) for _ in range(600)]
+    got = frame(spark, rows, "s string").select("s", paths.valid(F.col("s")).alias("v")).collect()
+    assert all(r["v"] == paths.is_valid(r["s"].split(" ")) for r in got) and 10 < sum(r["v"] for r in got) < 590
+
+
 def test_node_classes(spark):
     df = frame(spark, [(["the/dt", "river/nn", "runs/nns", ",/,", "in/in", "./."],), (["the/dt", *["x/cd"] * 20, "late/nn"],)], "nodes array<string>")
     got = {r["node"]: r for r in paths.node_classes(df, "nodes").collect()}
