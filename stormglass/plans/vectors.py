@@ -109,6 +109,21 @@ def jn4_all_pairs_cosine(spark: SparkSession, sf: str) -> DataFrame:
     return V.similar_pairs(step_vectors(spark, sf), "tweet_id", 0.2, "step").withColumn("similarity", F.round("similarity", 6))
 
 
+#: sim as above, of the posts each window sees, under the window's snapshot as step.
+WINDOW_SIM = SNAPSHOTS + ", sw AS MATERIALIZED (SELECT snapshot AS step, tweet_id, terms FROM snap)" + STEP_SIM[len(WORDS) :].replace("FROM w)", "FROM sw)").replace("FROM w ", "FROM sw ")
+
+
+@query(f"WITH {WINDOW_SIM} SELECT step AS snapshot, a, b, round(similarity, 6) AS similarity FROM sim WHERE round(similarity, 9) >= 0.2")
+def jn4_window_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of posts of a window of twelve steps; weights are those of the window."""
+    words = P.words(spark, sf)
+    plain, names, _ = S.numbered(words)
+    seen = S.snapshots(words.select("tweet_id", "step", "created_at_ms")).join(plain, "tweet_id").select("snapshot", "post", "terms")
+    pairs = V.blocked_pairs(V.weights(seen, "post", "snapshot"), "post", 0.2, "snapshot")
+    named = pairs.join(names.select(F.col("post").alias("a"), F.col("tweet_id").alias("_a")), "a").join(names.select(F.col("post").alias("b"), F.col("tweet_id").alias("_b")), "b")
+    return named.select("snapshot", F.col("_a").alias("a"), F.col("_b").alias("b"), F.round("similarity", 6).alias("similarity"))
+
+
 #: every pair of a step by brute force; a pair without a common term has similarity 0.
 @query(f"WITH {STEP_SIM}, t AS (SELECT step, sum(similarity) AS s FROM sim GROUP BY step), k AS (SELECT step, count(*) AS n FROM nm WHERE norm > 0 GROUP BY step) SELECT k.step, n, round(CASE WHEN n > 1 THEN coalesce(s, 0) / (n * (n - 1) / 2) END, 6) AS mean FROM k LEFT JOIN t USING (step)")
 def mth3_cosine(spark: SparkSession, sf: str) -> DataFrame:
@@ -469,6 +484,6 @@ def gr12_lexrank_scores(spark: SparkSession, sf: str) -> DataFrame:
     return lexrank.step_scores(P.words(spark, sf)).withColumn("score", F.round("score", 6))
 
 
-@query(f"WITH {STEP_SIM} SELECT step, a, b, round(similarity, 6) AS similarity FROM sim WHERE round(similarity, 9) >= 0.2 ORDER BY similarity, a, b")
+@query(f"WITH {WINDOW_SIM} SELECT step AS snapshot, a, b, round(similarity, 6) AS similarity FROM sim WHERE round(similarity, 9) >= 0.2 ORDER BY similarity, a, b")
 def top4_sort_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return jn4_all_pairs_cosine(spark, sf).orderBy("similarity", "a", "b")
+    return jn4_window_pairs(spark, sf).orderBy("similarity", "a", "b")
