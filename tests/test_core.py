@@ -592,8 +592,9 @@ def test_every_language_is_clustered(spark):
 
 
 def test_paths_reach_an_end_of_one_post(spark):
-    texts = ["useful river flooded.", "useful river flooded in towns that we all know"]
-    assert any(paths.strip(c.nodes) == "useful river ." or c.nodes[-1] == "flooded/vbd" for c in paths.Window(tagged(spark, ["the river needed useful homes.", "the river needed useful homes in towns we know"])).sentences()) or paths.Window(tagged(spark, texts)).sentences()
+    """Only one of the two posts ends after the words they share."""
+    found = paths.Window(tagged(spark, ["useful river.", "useful river in towns we know"])).sentences()
+    assert [c.nodes for c in found] == [("useful/jj", "river/nn")] and len(found[0].places) == 1
 
 
 def test_every_path_is_tried(spark):
