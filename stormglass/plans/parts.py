@@ -12,8 +12,9 @@ from stormglass.functions.times import created
 from stormglass.operators import cluster, graph, paths, select
 from stormglass.operators import steps as S
 from stormglass.operators import vectors as V
-from stormglass.runtime import materialize, table
+from stormglass.runtime import materialize, scratch_dir, table
 from stormglass.sources import posts as P
+from stormglass.streaming import windows
 
 from .base import CREATED
 from .models import tagged_windows, windows_of
@@ -171,6 +172,7 @@ def gr16_merge_clusters(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH h AS (SELECT delivery_id, epoch_us({CREATED}) // 1000 AS ms FROM hurricane_harvey), m AS (SELECT *, max(ms) OVER (ORDER BY delivery_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM h WHERE ms IS NOT NULL)
 SELECT delivery_id, before - ms AS late_ms FROM m WHERE ms < before - 3600000""")
 def st8_late_data(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines more than an hour older than the newest before them: what a watermark of an hour would drop."""
-    h = table(spark, sf, "hurricane_harvey").select("delivery_id", F.unix_millis(created(F.col("created_at"))).alias("ms")).where("ms IS NOT NULL")
-    return S.running_max(h, "delivery_id", "ms").where("ms < before - 3600000").select("delivery_id", (F.col("before") - F.col("ms")).alias("late_ms"))
+    """Lines more than an hour older than the newest before them, found live: what a watermark of an hour may drop."""
+    h = materialize(table(spark, sf, "hurricane_harvey").select("delivery_id", F.unix_millis(created(F.col("created_at"))).alias("ms")))
+    path = scratch_dir(spark)
+    return windows.replay(h, "delivery_id", 4, lambda stream: windows.late_rows(stream, path, "delivery_id", "ms", 3_600_000))

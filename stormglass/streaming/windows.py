@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from stormglass.operators.steps import running_max
 from stormglass.runtime import scratch_dir
 
 
@@ -65,6 +66,28 @@ def per_batch(stream: DataFrame, path: str, summarize: Callable[[DataFrame], Dat
     return stream.sparkSession.read.parquet(f"{path}/out")
 
 
+def late_rows(stream: DataFrame, path: str, order: str, ms: str, late: int) -> DataFrame:
+    """``order, late_ms`` of the rows more than ``late`` ms older than the newest before them, in order of ``order``:
+    what a watermark of that delay may drop.
+
+    Each batch leaves the newest time it held under its number, so a batch that is
+    run again sees the same past and writes the same files. Null times are neither
+    late nor new.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        past = spark.read.schema("newest bigint, batch int").parquet(f"{path}/newest").where(F.col("batch") < number).agg(F.max("newest")).first()[0] if number else None
+        rows = running_max(batch.where(F.col(ms).isNotNull()).select(order, ms), order, ms)
+        before = F.greatest(F.col("before"), F.lit(past).cast("bigint"))
+        found = rows.withColumn("before", before).where(F.col(ms) < F.col("before") - late).select(order, (F.col("before") - F.col(ms)).alias("late_ms"))
+        found.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+        batch.agg(F.max(ms).cast("bigint").alias("newest")).write.mode("overwrite").parquet(f"{path}/newest/batch={number}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.parquet(f"{path}/out").drop("batch")
+
+
 class CountTrigger(StatefulProcessor):
     """Emits ``key, bucket, n, first_ms, last_ms`` each time ``size`` more rows of a key have come."""
 

@@ -505,6 +505,15 @@ def test_copies_go_on_from_their_checkpoint(spark):
     assert [(r["key"], r["ord"]) for r in run().collect()] == [(10, 3)]
 
 
+def test_late_rows_over_batches(spark):
+    rows = [(1, 100), (2, 50), (3, None), (4, 200), (5, 120), (6, 195), (7, 189), (8, 300), (9, 289)]
+    df, path = frame(spark, rows, "d bigint, ms bigint"), scratch_dir(spark)
+    got = windows.replay(df, "d", 3, lambda stream: windows.late_rows(stream, path, "d", "ms", 10)).collect()
+    assert {(r["d"], r["late_ms"]) for r in got} == {(2, 50), (5, 80), (7, 11), (9, 11)}
+    none = windows.replay(df.limit(0), "d", 2, lambda stream: windows.late_rows(stream, scratch_dir(spark), "d", "ms", 10))
+    assert none.count() == 0
+
+
 def test_output_per_step_is_replaced(spark):
     path = scratch_dir(spark)
     rows = [[("a", 0), ("b", 1)], [("c", 1), ("d", 2)]]
