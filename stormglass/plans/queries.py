@@ -19,7 +19,7 @@ def buckets_for(rows: DataFrame) -> int:
 
 @query("SELECT delivery_id, id FROM (SELECT delivery_id, id, row_number() OVER (PARTITION BY id ORDER BY delivery_id) AS rn FROM hurricane_harvey WHERE id IS NOT NULL) WHERE rn > 1")
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    stream = stream_table(spark, sf, "hurricane_harvey", 2)
+    stream = stream_table(spark, sf, "hurricane_harvey", 2, most_batches=16)
     found = dedup.copies(stream, "id", "delivery_id", "received_at", created(F.col("created_at")), buckets=buckets_for(table(spark, sf, "hurricane_harvey")))
     return found.select(F.col("ord").alias("delivery_id"), F.col("key").alias("id"))
 

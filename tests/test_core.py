@@ -505,6 +505,19 @@ def test_copies_go_on_from_their_checkpoint(spark):
     assert [(r["key"], r["ord"]) for r in run().collect()] == [(10, 3)]
 
 
+def test_many_files_make_a_bounded_number_of_batches(spark, monkeypatch):
+    sf, base = (scratch_dir(spark).removeprefix("file:") for _ in range(2))
+    ids = [i if i % 3 else i // 6 for i in range(144)]
+    rows = [(i, x, i // 3, x // 3, "t") for i, x in enumerate(ids)]
+    for i in range(36):
+        df = deliveries(spark, rows[4 * i : 4 * i + 4]).withColumn("created_at", F.date_format("created_at", "EEE MMM dd HH:mm:ss Z yyyy"))
+        df.coalesce(1).write.mode("append").parquet(f"{sf}/hurricane_harvey.parquet")
+    monkeypatch.setattr(dedup, "scratch_dir", lambda spark: base)
+    got = {(r["id"], r["delivery_id"]) for r in CORE.QUERIES["p3_found"](spark, sf).collect()}
+    batches = [x for x in os.listdir(f"{base}/state/sources/0") if not x.startswith(".")]
+    assert got == brute(rows) and 9 <= len(batches) <= 16
+
+
 def test_late_rows_over_batches(spark):
     rows = [(1, 100), (2, 50), (3, None), (4, 200), (5, 120), (6, 195), (7, 189), (8, 300), (9, 289)]
     df, path = frame(spark, rows, "d bigint, ms bigint"), scratch_dir(spark)
