@@ -27,7 +27,11 @@ PASS = 64  #: extra buckets for rows already known to be copies
 def _combine(buckets: int):
     """Within one batch of rows only the earliest copy of a key can be new; the
     others skip the store, spread over buckets without state, so a key with any
-    share of the rows sends one row per batch to its own bucket."""
+    share of the rows sends one row per batch to its own bucket.
+
+    The watermark goes on by a row of its own for a bucket without state. Spark
+    drops rows whose ``mark`` is older than the watermark, so the messages have
+    none: one delivered long after others of its time is late, not lost."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
@@ -37,7 +41,10 @@ def _combine(buckets: int):
             with np.errstate(over="ignore"):
                 own = ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(buckets)
             p["bucket"] = np.where(copy, buckets + ords % PASS, own.astype(np.int64)).astype(np.int32)
-            yield p[["bucket", "key", "ord", "event_ms", "at"]]
+            p["mark"] = pd.Series(pd.NaT, p.index, "datetime64[ns]")
+            yield p[["bucket", "key", "ord", "event_ms", "at", "mark"]]
+            if len(p):
+                yield pd.DataFrame({"bucket": np.array([buckets + PASS], np.int32), "key": 0, "ord": 0, "event_ms": NONE, "at": 0, "mark": pd.to_datetime([p["at"].max()], unit="ms")})
 
     return run
 
@@ -52,10 +59,13 @@ def _seen(buckets: int):
     Rows of keys in it are copies, unless their order is smaller, which
     supersedes the copy kept so far. Of the others a row is first if all earlier
     copies would still be in the store, that is if its message is not older than
-    the watermark; else it is late, for the lookup.
+    the watermark; else it is late, for the lookup. So what is in the store stays
+    until the watermark has passed its message's own time, too.
     """
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if key[0] == buckets + PASS:
+            return
         if key[0] >= buckets:
             for p in parts:
                 yield _rows("copy", p["key"].to_numpy(), p["ord"].to_numpy())
@@ -75,7 +85,8 @@ def _seen(buckets: int):
         for p in parts:
             p = p.sort_values(["key", "ord"], kind="stable")
             k, o = p["key"].to_numpy(np.int64), p["ord"].to_numpy(np.int64)
-            event, at = p["event_ms"].to_numpy(np.int64), p["at"].astype("datetime64[ms]").to_numpy().astype(np.int64)
+            event = p["event_ms"].to_numpy(np.int64)
+            at = np.maximum(p["at"].to_numpy(np.int64), event)
             lead = np.r_[True, k[1:] != k[:-1]] if len(k) else np.zeros(0, bool)
             last = np.maximum.reduceat(at, np.flatnonzero(lead)) if len(k) else at
             yield _rows("copy", k[~lead], o[~lead])
@@ -121,14 +132,14 @@ def first_copies(stream: DataFrame, key: str, order: str, arrived: str, event: C
     came first, ``arrived`` is the time of delivery that drives the watermark,
     ``event`` the message's own time, null where unknown. Kinds: first (the copy
     to keep), copy, superseded (kept at first, then an earlier copy came), late
-    (for :func:`settle`). Rows without key or order are left out.
+    (for :func:`settle`). Rows without key or order are left out, but none for coming late.
     """
     ms = F.coalesce(F.unix_millis(event.cast("timestamp")), F.lit(NONE))
     slim = stream.where(F.col(key).isNotNull() & F.col(order).isNotNull()).select(
-        F.col(key).cast("bigint").alias("key"), F.col(order).cast("bigint").alias("ord"), ms.alias("event_ms"), F.coalesce(F.col(arrived).cast("timestamp"), F.lit(0).cast("timestamp")).alias("at")
+        F.col(key).cast("bigint").alias("key"), F.col(order).cast("bigint").alias("ord"), ms.alias("event_ms"), F.coalesce(F.unix_millis(F.col(arrived).cast("timestamp")), F.lit(0)).alias("at")
     )
-    parts = slim.mapInPandas(_combine(buckets), "bucket int, key bigint, ord bigint, event_ms bigint, at timestamp")
-    timed = parts.withWatermark("at", horizon)
+    parts = slim.mapInPandas(_combine(buckets), "bucket int, key bigint, ord bigint, event_ms bigint, at bigint, mark timestamp")
+    timed = parts.withWatermark("mark", horizon)
     return timed.groupBy("bucket").applyInPandasWithState(_seen(buckets), OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 

@@ -486,6 +486,17 @@ def test_copies_over_batches(spark, horizon):
     assert {(r["key"], r["ord"]) for r in got} == brute(rows) and len(got) == len(brute(rows))
 
 
+def test_copies_delivered_behind_the_watermark(spark):
+    """Files that do not come in order of delivery: rows whose delivery is older than the watermark count like the others."""
+    one = [(1, 10, 0, 0, "a"), (2, 20, 500, 500, "b"), (3, 60, None, 510, "n"), (4, 70, 400, 520, "ahead")]
+    two = [(5, 10, 1, 0, "a"), (6, 30, 2, 1, "c"), (7, 30, 3, 1, "c"), (8, 40, 4, 4, "d"), (13, 90, 505, 505, "m")]
+    three = [(9, 40, 5, 4, "d"), (10, 20, 6, 500, "b"), (0, 30, 7, 1, "c"), (11, 60, 501, 510, "n"), (12, 70, 501, 520, "ahead")]
+    rows = one + two + three
+    stream = as_stream(spark, [deliveries(spark, r) for r in (one, two, three)])
+    got = dedup.copies(stream, "id", "delivery_id", "received_at", F.col("created_at"), "1 hour", buckets=4).collect()
+    assert {(r["key"], r["ord"]) for r in got} == brute(rows) and len(got) == len(brute(rows))
+
+
 def test_copies_of_one_hot_message_and_of_nothing(spark):
     rows = [(i, 7 if i % 3 else i, i // 100, i // 100, "t") for i in range(600)]
     stream = as_stream(spark, [deliveries(spark, rows[:300]), deliveries(spark, rows[300:])])
