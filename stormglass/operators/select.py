@@ -14,6 +14,7 @@ from . import graph
 from .steps import numbered
 
 TOPICS_STOP, NOVELTY, PER_TOPIC, OVERLAP, DIVERSE_STOP = 0.05, 0.1, 50, 0.2, 0.01
+ALIKE_BLOCK = 500_000  #: pairs of posts whose shared terms are counted at once
 
 
 Lists = tuple[np.ndarray, np.ndarray]  #: lists of numbers end to end, with where each begins and the last ends
@@ -85,16 +86,26 @@ SELECTORS = {
 
 
 def alike(own: list[str], terms: dict[str, frozenset]) -> dict[str, float]:
-    """The sum of each post's similarities to the others, from the terms they share."""
-    by: dict[str, list[str]] = {}
-    for p in own:
-        for t in terms[p]:
-            by.setdefault(t, []).append(p)
-    out = {}
-    for p in own:
-        shared = Counter(q for t in terms[p] for q in by[t] if q != p)
-        out[p] = sum(n / (len(terms[p]) + len(terms[q]) - n) for q, n in sorted(shared.items()))
-    return out
+    """The sum of each post's similarities to the others, from the terms they share: counted in blocks of posts against all."""
+    m, at = len(own), {}
+    size = np.array([len(terms[p]) for p in own], np.int64)
+    start = np.r_[0, np.cumsum(size)]
+    term = np.fromiter((at.setdefault(t, len(at)) for p in own for t in terms[p]), np.int64, int(start[-1]))
+    owner = np.repeat(np.arange(m), size)
+    order = np.argsort(term, kind="stable")
+    by, first = owner[order], np.searchsorted(term[order], np.arange(len(at) + 1))
+    total, step = np.zeros(m), max(1, ALIKE_BLOCK // max(1, m))
+    for a in range(0, m, step):
+        b = min(m, a + step)
+        own_terms = term[start[a] : start[b]]
+        n = first[own_terms + 1] - first[own_terms]
+        place = np.repeat(first[own_terms] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        cell = np.repeat(owner[start[a] : start[b]] - a, n) * m + by[place]
+        shared = np.bincount(cell, minlength=(b - a) * m).reshape(b - a, m)
+        each = shared / np.maximum(1, size[a:b, None] + size[None, :] - shared)
+        each[np.arange(b - a), np.arange(a, b)] = 0.0
+        total[a:b] = each.sum(axis=1)
+    return dict(zip(own, total.tolist()))
 
 
 def choose_posts(topics: list[str], rank: dict[str, float], terms: dict[str, frozenset], per_topic: int = PER_TOPIC, overlap: float = OVERLAP, score: str = "new", representative: bool = False) -> list[tuple[str, float]]:
@@ -203,10 +214,12 @@ def posts_for_topics(snapshots: DataFrame, counts: DataFrame, topics: int, per_t
     return own.groupBy("snapshot").applyInPandas(run, "snapshot int, place int, tweet_id string, value bigint")
 
 
-def inc_summary(words: DataFrame, snapshots: DataFrame, cover: float | None = None, score: str = "new", length: int = 20, stage: str = "diverse", per_topic: int = PER_TOPIC, representative: bool = False) -> DataFrame:
+def inc_summary(words: DataFrame, snapshots: DataFrame, cover: float | None = None, length: int = 20, stage: str = "diverse", per_topic: int = PER_TOPIC, ways: dict[str, dict] | None = None) -> DataFrame:
     """``snapshot, rank_no, tweet_id, score``: the diversified summary of each window;
     with ``stage`` "posts" what is chosen before that, with "topics" the subtopic
-    terms (in place of ids) with their rank.
+    terms (in place of ids) with their rank. With ``ways``, names and what they
+    ask of :func:`choose_posts`, that is given for each, with its name as
+    ``selector``: graph, ranks and subtopics, which they share, are made once.
 
     The directed word graphs of all windows are one join over counts per step;
     ranks and the greedy choice, sequential by nature, run per window on its
@@ -234,15 +247,18 @@ def inc_summary(words: DataFrame, snapshots: DataFrame, cover: float | None = No
         u, v, n = u[order], v[order], len(known)
         rank = graph.series_rank(u, v, w[edge].astype(float)[order], n, length)
         found = subtopics(rank, lists(np.r_[u, v], np.r_[v, u], n), lists(terms, post, n), len(ids))
-        best = [(known[t], rank[t]) for t in found]
-        if stage != "topics":
+        if stage == "topics":
+            best = [("", k, known[t], rank[t]) for k, t in enumerate(found, 1)]
+        else:
             sets = {i: frozenset(x.tolist()) for i, x in enumerate(np.split(terms, np.cumsum(size)[:-1]))}
-            picked = choose_posts(found, dict(enumerate(rank.tolist())), sets, per_topic, score=score, representative=representative)
-            if stage == "diverse":
-                picked = diversify([i for i, _ in picked], sets, cover=cover)
-            best = [(ids[i], s) for i, s in picked]
-        return pd.DataFrame({"snapshot": key[0], "rank_no": range(1, len(best) + 1), "id": np.array([a for a, _ in best], np.int64), "score": np.array([s for _, s in best], float)})
-
-    out = left.unionAll(right).groupBy("snapshot").applyInPandas(run, "snapshot int, rank_no int, id bigint, score double")
+            ranks, best = dict(enumerate(rank.tolist())), []
+            for name, how in (ways or {"": {}}).items():
+                picked = choose_posts(found, ranks, sets, per_topic, **how)
+                if stage == "diverse":
+                    picked = diversify([i for i, _ in picked], sets, cover=cover)
+                best += [(name, k, ids[i], x) for k, (i, x) in enumerate(picked, 1)]
+        return pd.DataFrame({"snapshot": key[0], "rank_no": np.array([x[1] for x in best], np.int32), "id": np.array([x[2] for x in best], np.int64), "score": np.array([x[3] for x in best], float), "selector": [x[0] for x in best]})
+
+    out = left.unionAll(right).groupBy("snapshot").applyInPandas(run, "snapshot int, rank_no int, id bigint, score double, selector string")
     back = dictionary.select(F.col("number").alias("id"), F.col("term").alias("tweet_id")) if stage == "topics" else names.select(F.col("post").alias("id"), "tweet_id")
-    return out.join(back, "id").select("snapshot", "rank_no", "tweet_id", "score")
+    return out.join(back, "id").select("snapshot", "rank_no", "tweet_id", "score", *(["selector"] if ways else []))

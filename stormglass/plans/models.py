@@ -44,12 +44,8 @@ def gr10_diversify_cover(spark: SparkSession, sf: str) -> DataFrame:
 def gr11_alt_selectors(spark: SparkSession, sf: str) -> DataFrame:
     """What each way to choose posts for the subtopics gives, and the first with representative posts only."""
     words, snaps = windows_of(spark, sf)
-    out = [select.inc_summary(words, snaps, score=s, stage="posts").withColumn("selector", F.lit(s)) for s in select.SELECTORS]
-    out.append(select.inc_summary(words, snaps, stage="posts", representative=True).withColumn("selector", F.lit("representative")))
-    whole = out[0]
-    for one in out[1:]:
-        whole = whole.unionByName(one)
-    return whole
+    ways = {s: {"score": s} for s in select.SELECTORS} | {"representative": {"representative": True}}
+    return select.inc_summary(words, snaps, stage="posts", ways=ways)
 
 
 #: sw: the posts of each window under its snapshot as step; the rest as for the posts of a step.

@@ -448,6 +448,21 @@ def test_tsv_json_round_trip(spark):
     assert spark.read.option("header", True).csv(f"{path}/key").count() == 2
 
 
+def test_all_selectors_share_one_graph(spark, monkeypatch):
+    calls = []
+    edges = select.graph.window_edges
+    monkeypatch.setattr(select.graph, "window_edges", lambda *a: calls.append(1) or edges(*a))
+    got = CORE.QUERIES["gr11_alt_selectors"](spark, "/root/testdata/sf0.001").select("selector").distinct().collect()
+    assert len(calls) == 1 and {r["selector"] for r in got} == {*select.SELECTORS, "representative"}
+
+
+def test_alike_in_blocks(monkeypatch):
+    terms = {f"p{i}": frozenset(("t", f"a{i % 3}", f"b{i % 5}", *(["c"] if i % 2 else []))) for i in range(40)}
+    monkeypatch.setattr(select, "ALIKE_BLOCK", 100, raising=False)
+    want = {p: sum(select.jaccard(terms[p], terms[q]) for q in terms if q != p) for p in terms}
+    assert select.alike(list(terms), terms) == pytest.approx(want)
+
+
 DELIVERIES = "delivery_id bigint, id bigint, received_at timestamp, created_at timestamp, text string, key string"
 
 
