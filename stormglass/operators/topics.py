@@ -52,35 +52,52 @@ class Sampler:
         # Terms of a post are sorted: how often a term stood before in its post is its distance to the run's begin.
         run = np.r_[True, (self.term[1:] != self.term[:-1]) | (self.post[1:] != self.post[:-1])] if len(self.term) else np.zeros(0, bool)
         self.before = np.arange(len(self.term)) - np.maximum.accumulate(np.where(run, np.arange(len(self.term)), 0)) if len(self.term) else self.place
+        # How often its post holds the term: runs by their length.
+        at = np.flatnonzero(run)
+        self.times = np.repeat(np.diff(np.r_[at, len(self.term)]), np.diff(np.r_[at, len(self.term)]))
 
     def sweep(self, terms: np.ndarray, total: np.ndarray, per: np.ndarray, alpha: float, rng: np.random.Generator) -> None:
         """One draw for every post; the counts (``terms`` by topic, ``total``, ``per``) follow."""
-        n = len(self.size)
+        n, longest = len(self.size), int(self.size.max(initial=0))
+        by_term = np.ascontiguousarray(terms.T)
+        flat = by_term.reshape(-1)  # the same numbers
+        # Logs of all counts; a draw changes few.
+        logs = np.log(np.maximum(by_term, 0) + self.beta)
+        steps = np.arange(longest)[:, None]
         for a in range(0, n, max(1, -(-n // PARTS_AT_ONCE))):
             b = min(n, a + max(1, -(-n // PARTS_AT_ONCE)))
             lo, hi = self.start[a], self.start[b]
-            term, post, z = self.term[lo:hi], self.post[lo:hi] - a, self.z[a:b]
-            own = np.zeros((hi - lo, self.topics))
-            own[np.arange(hi - lo), z[post]] = 1.0
+            term, post, z, size = self.term[lo:hi], self.post[lo:hi] - a, self.z[a:b], self.size[a:b]
+            here, every = np.arange(hi - lo), np.arange(b - a)
             # What the post itself adds to its topic: of each term as often as it holds it, of all as long as it is.
-            key = post * self.n_terms + term
-            _, back, times = np.unique(key, return_inverse=True, return_counts=True)
-            count = terms[:, term].T - own * times[back][:, None]
-            whole = total[None, :] - own * self.size[a:b][post][:, None]
-            each = np.log(np.maximum(count, 0) + self.beta + self.before[lo:hi, None]) - np.log(np.maximum(whole, 0) + self.n_terms * self.beta + self.place[lo:hi, None])
+            each = logs[term]
+            raised = np.flatnonzero(self.before[lo:hi])
+            each[raised] = np.log(np.maximum(by_term[term[raised]], 0) + (self.beta + self.before[lo:hi][raised])[:, None])
+            was = term * self.topics + z[post]
+            each[here, z[post]] = np.log(np.maximum(flat[was] - self.times[lo:hi], 0) + (self.beta + self.before[lo:hi]))
             like = np.add.reduceat(each, self.start[a:b] - lo) if hi > lo else np.zeros((b - a, self.topics))
+            # The totals depend on a post's length and topic only: logs are added up by place for all lengths there are.
+            bottom = self.n_terms * self.beta
+            like -= np.vstack([np.zeros(self.topics), np.cumsum(np.log(np.maximum(total, 0) + bottom + steps), axis=0)])[size]
+            plain = np.log(np.maximum(total[z], 0) + bottom + steps)
+            less = np.log(np.maximum(total[z] - size, 0) + bottom + steps)
+            like[every, z] += np.where(steps < size, plain - less, 0.0).sum(axis=0)
             mine = np.zeros((b - a, self.topics))
-            mine[np.arange(b - a), z] = 1.0
+            mine[every, z] = 1.0
             logp = like + np.log(np.maximum(per[None, :] - mine, 0) + alpha)
             q = np.cumsum(np.exp(logp - logp.max(axis=1, keepdims=True)), axis=1)
             new = np.minimum((q < rng.random((b - a, 1)) * q[:, -1:]).sum(axis=1), self.topics - 1)
-            np.add.at(terms, (z[post], term), -1)
-            np.add.at(terms, (new[post], term), 1)
-            np.add.at(total, z, -self.size[a:b])
-            np.add.at(total, new, self.size[a:b])
-            np.add.at(per, z, -1)
-            np.add.at(per, new, 1)
+            now = term * self.topics + new[post]
+            np.add.at(flat, was, -1.0)
+            np.add.at(flat, now, 1.0)
+            for cells in (was, now):
+                logs.reshape(-1)[cells] = np.log(np.maximum(flat[cells], 0) + self.beta)
+            np.add.at(total, z, -size.astype(float))
+            np.add.at(total, new, size.astype(float))
+            np.add.at(per, z, -1.0)
+            np.add.at(per, new, 1.0)
             self.z[a:b] = new
+        terms[:] = by_term.T
 
 
 def _seed(*parts: int) -> np.random.Generator:

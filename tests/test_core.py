@@ -420,6 +420,26 @@ def test_sampler_agrees_with_a_plain_one():
     assert n[0] / 4000 == pytest.approx(odds[0] / sum(odds), abs=0.02)
 
 
+def test_sweep_takes_few_logs(monkeypatch):
+    """A draw changes few counts: a sweep takes no log for every token and topic."""
+    taken = []
+
+    class Counting:
+        def __getattr__(self, name):
+            return (lambda x, **how: taken.append(np.size(x)) or np.log(x, **how)) if name == "log" else getattr(np, name)
+
+    posts = [[(i + 2 * j) % 50 for j in range(20)] for i in range(500)]
+    s = topics.Sampler([sorted(p) for p in posts], np.arange(500) % 30, 50, 30, 0.01)
+    terms = np.zeros((30, 50))
+    np.add.at(terms, (s.z[s.post], s.term), 1)
+    total, per = np.bincount(s.z, s.size, 30).astype(float), np.bincount(s.z, minlength=30).astype(float)
+    monkeypatch.setattr(topics, "np", Counting())
+    s.sweep(terms, total, per, 1.0, np.random.default_rng(1))
+    want = np.zeros((30, 50))
+    np.add.at(want, (s.z[s.post], s.term), 1)
+    assert sum(taken) < 10_000 * 30 / 2 and (terms == want).all()
+
+
 def test_filter_of_core_terms_runs_to_its_end(spark):
     """A chain in which each round takes away what kept the next in."""
     rows = []
