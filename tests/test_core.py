@@ -420,6 +420,16 @@ def test_sampler_agrees_with_a_plain_one():
     assert n[0] / 4000 == pytest.approx(odds[0] / sum(odds), abs=0.02)
 
 
+def test_counts_are_collected_once_per_exchange(spark, monkeypatch):
+    core = frame(spark, [(f"p{i}", f"{'ab'[i % 2]}{j}") for i in range(20) for j in range(5)], "tweet_id string, term string")
+    calls, plain = [], type(core).collect
+    monkeypatch.setattr(type(core), "collect", lambda self: calls.append(1) or plain(self))
+    phi, _ = topics.fit(core, topics=2, sweeps=60, burn=20, every=10)
+    assert len(calls) <= 7
+    monkeypatch.undo()
+    assert phi.groupBy("topic").agg(F.sum("phi").alias("s")).where("abs(s - 1) < 1e-9").count() == 2
+
+
 def test_sweep_takes_few_logs(monkeypatch):
     """A draw changes few counts: a sweep takes no log for every token and topic."""
     taken = []
